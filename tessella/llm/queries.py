@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, substrings
+from tessella.llm import bpe, near_duplicates, substrings
 from tessella.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,13 +18,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets are at least 80 per cent alike."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cut passages of 50 words or more that a document with a smaller id has too."""
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op9_substrings": op9_substrings}
+    return {"op1_bpe": op1_bpe, "op6_near_duplicates": op6_near_duplicates, "op9_substrings": op9_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
