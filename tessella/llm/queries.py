@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, chat, near_duplicates, substrings
+from tessella.llm import bpe, chat, near_duplicates, substrings, warc
 from tessella.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write a record for every page, index them, and read them back through the index."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets are at least 80 per cent alike."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
@@ -39,8 +44,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op6_near_duplicates": op6_near_duplicates, "op9_substrings": op9_substrings, "op10_chat": op10_chat}
+    return {"op1_bpe": op1_bpe, "op5_warc": op5_warc, "op6_near_duplicates": op6_near_duplicates, "op9_substrings": op9_substrings, "op10_chat": op10_chat}
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first_id FROM d WHERE n >= 100 GROUP BY h)
+SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, d.h AS payload_digest,
+       CASE WHEN first_id <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> d.page_id THEN first_id END AS refers_to
+FROM d LEFT JOIN f ON d.h = f.h AND d.n >= 100
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": OP5_SQL}
