@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, chat, near_duplicates, substrings, warc
+from tessella.llm import bpe, chat, near_duplicates, substrings, toxicity, warc
 from tessella.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,12 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document; labels of held-out rows are never seen."""
+    found = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cut passages of 50 words or more that a document with a smaller id has too."""
     return substrings.digests(table(spark, sf_dir, "documents"))
@@ -44,7 +50,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op5_warc": op5_warc, "op6_near_duplicates": op6_near_duplicates, "op9_substrings": op9_substrings, "op10_chat": op10_chat}
+    return {"op1_bpe": op1_bpe, "op5_warc": op5_warc, "op6_near_duplicates": op6_near_duplicates, "op8_toxicity": op8_toxicity, "op9_substrings": op9_substrings, "op10_chat": op10_chat}
 
 
 OP5_SQL = """
