@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, chat, near_duplicates, substrings, toxicity, warc
+from tessella.llm import bpe, chat, decontamination, near_duplicates, substrings, toxicity, warc
 from tessella.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find benchmark items in every document by runs of eight words."""
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document; labels of held-out rows are never seen."""
     found = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -50,7 +55,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op5_warc": op5_warc, "op6_near_duplicates": op6_near_duplicates, "op8_toxicity": op8_toxicity, "op9_substrings": op9_substrings, "op10_chat": op10_chat}
+    return {"op1_bpe": op1_bpe, "op5_warc": op5_warc, "op6_near_duplicates": op6_near_duplicates, "op7_decontamination": op7_decontamination, "op8_toxicity": op8_toxicity, "op9_substrings": op9_substrings, "op10_chat": op10_chat}
 
 
 OP5_SQL = """
@@ -64,5 +69,26 @@ FROM d LEFT JOIN f ON d.h = f.h AND d.n >= 100
 """
 
 
+OP7_SQL = r"""
+WITH words AS (
+    SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+    SELECT item_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wanted AS (
+    SELECT DISTINCT id AS item_id, w[s:s + least(len(w), 8) - 1] AS phrase, least(len(w), 8) AS n
+    FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS s FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM wanted),
+places AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS s FROM words),
+found AS (
+    SELECT p.id, p.s, z.n, q.item_id FROM places p CROSS JOIN sizes z JOIN wanted q ON q.n = z.n AND q.phrase = p.w[p.s:p.s + z.n - 1]
+    WHERE p.s + z.n - 1 <= len(p.w)),
+hit AS (SELECT id, count(DISTINCT spot) AS n_hit FROM (SELECT id, unnest(range(s, s + n)) AS spot FROM found) GROUP BY id),
+lists AS (SELECT id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY id)
+SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       coalesce(sha, sha256('')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM words w LEFT JOIN hit ON hit.id = w.id LEFT JOIN lists ON lists.id = w.id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL}
+    return {"op5_warc": OP5_SQL, "op7_decontamination": OP7_SQL}
