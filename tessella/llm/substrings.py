@@ -22,7 +22,7 @@ so every word, if they have ``width`` words; they take no part in the steps abov
 
 Edge cases: null and empty texts have no words and lose none; documents shorter than ``width`` lose
 nothing; a repetition inside one document doesn't count; rows with one id are one document for
-comparisons (each is returned), and a null id takes part in nothing.
+comparisons and must hold one text (each is returned), and a null id takes part in nothing.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_batches, materialise, mix64
+from tessella.llm.common import fresh_path, map_batches, materialise, mix64, release
 from tessella.llm.words import raw_texts, window_names, word_fingerprints
 
 #: Rounds of pairing; a round leaves about three quarters of the symbols.
@@ -166,24 +166,35 @@ def repeats(docs: DataFrame, width: int = 50) -> tuple[DataFrame, DataFrame]:
     """(sketch, cuts) of ``docs(doc_id, text)``.
 
     sketch: doc_id, n_words, kept_sha256 of the uncut words, and first_id: the smallest id with the same words.
-    cuts: doc_id, places: the windows' first words at which removed windows begin, for documents that
-    lose some but aren't copies of a smaller one.
+    cuts: doc_id, text, places: the first words of the windows to remove, for documents that lose some
+    but aren't copies of a smaller one.
+
+    Each step is written before the next begins, so that what a step has shuffled can go.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = materialise(map_batches(docs, _sketch(width), "doc_id bigint, n_words bigint, kept_sha256 string, anchors array<struct<name bigint, first int, size int>>"), "sketch")
-    long = sketch.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= width))
+    anchored_path, windows_path, least_path = (fresh_path(spark, x) for x in ("anchors", "windows", "least"))
+    anchored = materialise(map_batches(docs, _sketch(width), "doc_id bigint, n_words bigint, kept_sha256 string, anchors array<struct<name bigint, first int, size int>>"), "anchors", anchored_path)
     # Which of equal sequences is the first; only those that have a copy are kept.
-    copies = long.groupBy("kept_sha256").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("kept_sha256", "first_id")
-    marked = sketch.join(copies, "kept_sha256", "left")
-    firsts = marked.where(F.col("doc_id").isNotNull() & (F.col("first_id").isNull() | (F.col("first_id") == F.col("doc_id"))))
-    found = firsts.select("doc_id", F.explode("anchors").alias("a")).select("doc_id", "a.*")
-    shared = found.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("name")
-    stretches = found.join(shared, "name").groupBy("doc_id").agg(F.collect_list(F.struct("first", "size")).alias("stretches"))
-    windows = materialise(map_batches(docs.join(stretches, "doc_id"), _windows(width), "doc_id bigint, place int, one bigint, two bigint", rows=64), "windows")
-    least = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("one", "two", "least")
+    copies = anchored.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= width)).groupBy("kept_sha256").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("kept_sha256", "first_id")
+    sketch = materialise(anchored.drop("anchors").join(copies, "kept_sha256", "left"), "sketch")
+    known = anchored.where(F.col("doc_id").isNotNull()).select("doc_id", "anchors")
+    found = known.join(sketch.where("doc_id > first_id").select("doc_id"), "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("a")).select("doc_id", "a.*")
+    shared = materialise(found.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("name"), "shared")
+    release(spark)
+    stretches = materialise(found.join(shared, "name").groupBy("doc_id").agg(F.collect_list(F.struct("first", "size")).alias("stretches")), "stretches")
+    del found, known, anchored
+    release(spark, anchored_path)
+    texts = materialise(docs.join(stretches, "doc_id"), "candidates")
+    release(spark)
+    windows = materialise(map_batches(texts, _windows(width), "doc_id bigint, place int, one bigint, two bigint", rows=64), "windows", windows_path)
+    least = materialise(windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("one", "two", "least"), "least", least_path)
+    release(spark)
     gone = windows.join(least, ["one", "two"]).where("doc_id > least")
-    cuts = gone.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    return marked.drop("anchors"), cuts
+    places = materialise(gone.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "places")
+    del windows, least, gone
+    release(spark, windows_path, least_path)
+    return sketch, texts.select("doc_id", "text").join(places, "doc_id")
 
 
 def _cut(width: int):
@@ -203,9 +214,9 @@ def _cut(width: int):
     return batch
 
 
-def cut_texts(docs: DataFrame, cuts: DataFrame, width: int = 50) -> DataFrame:
+def cut_texts(cuts: DataFrame, width: int = 50) -> DataFrame:
     """doc_id, n_removed, kept (the words left, joined by one space) of the documents in ``cuts``."""
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(cuts, "doc_id"), _cut(width), "doc_id bigint, n_removed bigint, kept string", rows=64)
+    return map_batches(cuts, _cut(width), "doc_id bigint, n_removed bigint, kept string", rows=64)
 
 
 def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
@@ -215,7 +226,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """
     sketch, cuts = repeats(docs, width)
     whole = sketch.where("doc_id > first_id").select("doc_id").distinct().withColumn("kept_", F.lit(""))
-    part = cut_texts(docs, cuts, width).select("doc_id", F.col("kept").alias("kept_")).dropDuplicates(["doc_id"])
+    part = cut_texts(cuts, width).select("doc_id", F.col("kept").alias("kept_")).dropDuplicates(["doc_id"])
     changed = whole.unionByName(part).withColumnRenamed("doc_id", "id_")
     joined = docs.join(changed, docs["doc_id"].cast("long") == changed["id_"], "left")
     return joined.select(*[F.coalesce("kept_", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
@@ -224,7 +235,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
 def digests(docs: DataFrame, width: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     sketch, cuts = repeats(docs, width)
-    part = cut_texts(docs, cuts, width).select("doc_id", F.col("n_removed").alias("cut_"), F.sha2(F.col("kept").cast("binary"), 256).alias("sha_"))
+    part = cut_texts(cuts, width).select("doc_id", F.col("n_removed").alias("cut_"), F.sha2(F.col("kept").cast("binary"), 256).alias("sha_")).dropDuplicates(["doc_id"])
     copy = F.col("doc_id") > F.col("first_id")
     return sketch.join(part, "doc_id", "left").select(
         "doc_id",
