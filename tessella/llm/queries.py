@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import bpe, chat, decontamination, near_duplicates, substrings, toxicity, warc
+from tessella.llm import bpe, chat, decontamination, near_duplicates, neighbours, substrings, toxicity, warc
 from tessella.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +20,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector among all others."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write a record for every page, index them, and read them back through the index."""
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
@@ -55,7 +62,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op5_warc": op5_warc, "op6_near_duplicates": op6_near_duplicates, "op7_decontamination": op7_decontamination, "op8_toxicity": op8_toxicity, "op9_substrings": op9_substrings, "op10_chat": op10_chat}
+    return {"op1_bpe": op1_bpe, "op3_neighbours": op3_neighbours, "op5_warc": op5_warc, "op6_near_duplicates": op6_near_duplicates, "op7_decontamination": op7_decontamination, "op8_toxicity": op8_toxicity, "op9_substrings": op9_substrings, "op10_chat": op10_chat, "pipeline": corpus_pipeline.run}
 
 
 OP5_SQL = """

@@ -254,7 +254,7 @@ def scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id"
         if "memo" not in held:
             held["memo"] = Memo(Restorer(CharacterModel(counts)), model)
         memo, out = held["memo"], []
-        for text in texts(rows.column(len(keep))):
+        for text in texts(rows.column("text")):
             low = text.lower()
             tokens = low.split()
             found = [memo.word(w) for w in memo.restorer.spaced(low)] if SPACED.search(low) else []
@@ -264,4 +264,4 @@ def scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id"
         return pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(out, pa.float64()), pa.array([int(s >= THRESHOLD) for s in out], pa.int32())], [*keep, "score", "predicted"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(docs.select(*keep, "text"), batch, f"{kinds}, score double, predicted int")
+    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), batch, f"{kinds}, score double, predicted int")
