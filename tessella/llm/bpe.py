@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -34,8 +35,8 @@ from pyspark.sql import DataFrame
 
 from tessella.llm.common import map_batches, texts
 
-#: A worker forgets its memo of words beyond this many entries.
-MEMO_WORDS = 250_000
+#: Entries of a generation of a worker's memos: stretches between white space, words, pairs of tokens.
+MEMO_STRETCHES, MEMO_WORDS, MEMO_PAIRS = 250_000, 150_000, 200_000
 #: Longer words aren't kept.
 MEMO_LENGTH = 64
 END = "</w>"
@@ -50,18 +51,21 @@ def byte_letters() -> dict[int, str]:
 
 
 class Memo(dict):
-    """Tokens of the stretches between white space that a worker has met, forgotten all at once when there are too many."""
+    """What a worker has met, in two generations: a full one becomes the older, what it still holds is taken up again when met."""
 
-    def __init__(self, make: Callable[[str], tuple[bytes, str]]) -> None:
-        self.make = make
+    def __init__(self, make: Callable, most: int) -> None:
+        self.make, self.most, self.older = make, most, {}
 
-    def __missing__(self, stretch: str) -> tuple[bytes, str]:
-        made = self.make(stretch)
-        if len(stretch) <= MEMO_LENGTH:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[stretch] = made
-        return made
+    def __missing__(self, key):
+        if (found := self.older.get(key)) is None:
+            found = self.make(key)
+            if type(key) is str and len(key) > MEMO_LENGTH:
+                return found
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
 
 @dataclass
@@ -75,6 +79,8 @@ class WordBpe:
     specials: dict[str, int]
     pattern: str
     memo: Memo = field(init=False)
+    memo_words: Memo = field(init=False)
+    memo_pairs: Memo = field(init=False)
 
     @classmethod
     def from_json(cls, blob: bytes) -> WordBpe:
@@ -99,7 +105,9 @@ class WordBpe:
         return out
 
     def _index(self) -> None:
-        self.memo = Memo(self._stretch)
+        self.memo = Memo(self._stretch, MEMO_STRETCHES)
+        self.memo_words = Memo(self.encode_word, MEMO_WORDS)
+        self.memo_pairs = Memo(lambda pair: self.compatible(*divmod(pair, len(self.tokens))), MEMO_PAIRS)
         letters = byte_letters()
         self.atom = {letters[b]: chr(b) for b in range(256)}
         self.words = regex.compile(self.pattern, regex.V0)
@@ -148,37 +156,39 @@ class WordBpe:
     def encode_word(self, word: str) -> list[int]:
         raw = word.encode()
         spelled = raw[:-1].decode("latin-1") + chr(256 + raw[-1])
-        best = [-1] * len(spelled)
+        n, lengths, shorter, pairs, size = len(spelled), self.length, self.shorter, self.memo_pairs, len(self.tokens)
+        best = [-1] * n
         for end, token in self.automaton.iter(spelled):
-            start = end - self.length[token] + 1
-            if best[start] < 0 or self.length[token] > self.length[best[start]]:
-                best[start] = token
-        open_end, out, at = bytearray(b"\x01" * (len(spelled) + 1)), [], 0
-        token = best[0]
-        while at < len(spelled):
-            while token >= 0 and not (open_end[at + self.length[token]] and (not out or self.compatible(out[-1], token))):
-                token = self.shorter[token]
+            best[end - lengths[token] + 1] = token  # later matches from one place are longer
+        open_end, out, at, last, token = bytearray(b"\x01" * (n + 1)), [], 0, -1, best[0]
+        while at < n:
+            while token >= 0 and not (open_end[at + lengths[token]] and (last < 0 or pairs[last * size + token])):
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at += self.length[token]
-                token = best[at] if at < len(spelled) else -1
+                at += lengths[token]
+                last, token = token, best[at] if at < n else -1
             elif out:
                 open_end[at] = 0
                 token = out.pop()
-                at -= self.length[token]
+                at -= lengths[token]
+                last = out[-1] if out else -1
             else:
                 raise ValueError(f"the vocabulary can't spell {word[:40]!r}")
         return out
 
     def _stretch(self, stretch: str) -> tuple[bytes, str]:
-        ids = [i for word in self.words.findall(stretch) for i in self.encode_word(word)]
-        return np.array(ids, dtype=np.int32).tobytes(), " ".join(map(str, ids))
+        if stretch.isascii() and stretch.isalpha():  # one word as it is
+            ids = self.encode_word(stretch)
+        else:
+            ids = [i for word in self.words.findall(stretch) for i in self.memo_words[word]]
+        return array("i", ids).tobytes(), " ".join(map(str, ids))
 
     def _pieces(self, text: str) -> Iterable[tuple[bytes, str]]:
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
                 i = self.specials[part]
-                yield np.array([i], dtype=np.int32).tobytes(), str(i)
+                yield array("i", [i]).tobytes(), str(i)
             elif part:
                 if not part.isascii():
                     # The library lowers character by character, so a final capital sigma has no form of its own.
