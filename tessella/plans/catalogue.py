@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.plans import programs, relational, scalars
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return relational.QUERIES.queries() | scalars.QUERIES.queries() | programs.QUERIES.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return relational.QUERIES.oracles() | scalars.QUERIES.oracles() | programs.QUERIES.oracles()
