@@ -89,7 +89,7 @@ for name, expr, oracle in (
     ("row_number", f"row_number() OVER ({W})", ""), ("rank", "rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority)", ""), ("dense_rank", "dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority)", ""),
     ("ntile", f"ntile(4) OVER ({W})", ""), ("percent_rank", f"round(percent_rank() OVER ({W}), 6)", ""), ("cume_dist", f"round(cume_dist() OVER ({W}), 6)", ""), ("lag_default", f"lag(o_orderkey, 1, 0) OVER ({W})", ""), ("lead", f"lead(o_orderkey, 2) OVER ({W})", ""),
     ("first_value", f"first_value(o_orderkey) OVER ({W})", ""), ("last_value", f"last_value(o_orderkey) OVER ({W})", f"last_value(o_orderkey) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"), ("nth_value", f"nth_value(o_orderkey, 2) OVER ({W})", ""),
-    ("sum_running", f"round(sum(o_totalprice) OVER ({W}), 2)", f"round(sum(o_totalprice) OVER ({W} ROWS UNBOUNDED PRECEDING), 2)"), ("avg_partition", "round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 1)", ""),
+    ("sum_running", f"round(sum(o_totalprice) OVER ({W}), 2)", f"round(sum(o_totalprice) OVER ({W} ROWS UNBOUNDED PRECEDING), 2)"), ("avg_partition", "avg(o_orderkey) OVER (PARTITION BY o_custkey)", ""),
     ("count_sliding", f"count(*) OVER ({W} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)", ""), ("min_sliding", f"min(o_totalprice) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", ""), ("max_sliding", f"max(o_totalprice) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)", ""),
     ("median_sliding", f"median(o_totalprice) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", ""), ("range_frame", "count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey RANGE BETWEEN 5 PRECEDING AND CURRENT ROW)", ""),
     ("order_nulls", "row_number() OVER (PARTITION BY o_orderstatus ORDER BY nullif(o_orderpriority, '1-URGENT') DESC, o_orderkey)", "row_number() OVER (PARTITION BY o_orderstatus ORDER BY nullif(o_orderpriority, '1-URGENT') DESC NULLS FIRST, o_orderkey)"),
