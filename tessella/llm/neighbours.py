@@ -18,6 +18,7 @@ repeated rows (one id, one vector) count once; ties go to the smaller id; with f
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import map_batches, materialise, release
 
-DEGREE, REVERSE, ROUNDS = 20, 20, 6
-BEAM, WIDTH, STEPS = 96, 12, 6
+DEGREE, REVERSE = 24, 24
+BEAM, WIDTH, STEPS = 120, 16, 7
+#: What a class can gain from one meeting in a round.
+GAIN = 8
 #: Classes of a block from which the first neighbours come, and how many blocks a class is in.
 BLOCK, DEALS = 48, 3
 
@@ -89,10 +92,12 @@ def _keep(found: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
     return out.withColumn("least", F.when(F.size("near") >= degree, F.element_at("near", -1)["sim"]).otherwise(F.lit(-2.0).cast("float")))
 
 
-def build_graph(nodes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS) -> DataFrame:
-    """id, vec, near, least of ``nodes(id, vec)``: the neighbour graph after ``rounds`` rounds."""
+def build_graph(nodes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds: int | None = None) -> DataFrame:
+    """id, vec, near, least of ``nodes(id, vec)``: the neighbour graph after ``rounds`` rounds, by default as many as its size takes to mix."""
     spark = nodes.sparkSession
-    blocks = max(1, nodes.count() // BLOCK)
+    n = nodes.count()
+    blocks = max(1, n // BLOCK)
+    rounds = max(5, round(0.6 * math.log2(n + 1))) if rounds is None else rounds
     member = F.struct("id", "vec", F.lit(-2.0).cast("float").alias("least"))
     # A block holds about BLOCK classes whatever the data: it is a hash of the id. Several ways of dealing mix the blocks.
     way = F.explode(F.array(*[F.xxhash64(F.pmod(F.xxhash64("id", F.lit(w)), F.lit(blocks)), F.lit(w)) for w in range(DEALS)])).alias("block")
@@ -107,7 +112,7 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE,
         ahead = edges.select(F.col("id").alias("at"), F.col("other").alias("id")).join(graph.select("id", "vec", "least"), "id").select("at", "id", "vec", "least")
         own = graph.select(F.col("id").alias("at"), "id", "vec", "least")
         met = back.unionByName(ahead).unionByName(own).groupBy("at").agg(F.collect_list(F.struct("id", "vec", "least")).alias("members")).select("members")
-        gained = map_batches(met, lambda b: _pairs_within(b, 6), "id bigint, other bigint, sim float", rows=256)
+        gained = map_batches(met, lambda b: _pairs_within(b, GAIN), "id bigint, other bigint, sim float", rows=256)
         old = edges.select("id", "other", "sim")
         graph = materialise(_keep(gained.unionByName(old), nodes, degree), "graph")
         release(spark)
