@@ -11,6 +11,7 @@ import re
 import statistics
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -114,6 +115,10 @@ class Engine:
         fitted.write.parquet(path)
         self.tables[name.lower()] = Table(table.schema, self.spark.read.schema(table.schema).parquet(path), table.lengths)
 
+    def register_function(self, name: str, function: Callable, return_type: str) -> None:
+        """A scalar function over Arrow batches (pandas Series in, a Series out) that SQL can call by name."""
+        self.spark.udf.register(name, F.pandas_udf(function, SQL_TYPES.get(return_type.upper(), return_type)))
+
     # --- statements ------------------------------------------------------------------------------------------
 
     def execute(self, sql: str) -> Result:
