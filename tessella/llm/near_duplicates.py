@@ -1,27 +1,28 @@
 """Near-duplicate documents by a Chosen Path similarity join over minwise tokens.
 
 A document's set holds fingerprints of its word shingles. Documents with equal sets become one class.
-Each class is reduced to ``TOKENS`` minwise tokens, of which two classes share a fraction close to their
-similarity. Independent trees branch on them: a node stands for a path of chosen coordinates with their
-tokens, and holds the classes that have them all. Small nodes are compared exhaustively; larger ones
-branch again on coordinates that their path picks.
+Each class is reduced to minwise tokens, of which two classes share a fraction close to their similarity.
+Independent trees branch on them: a node stands for a path of chosen coordinates with their tokens, and
+holds the classes that have them all. Small nodes are compared exhaustively, on a byte of each token;
+nodes of more than ``LIMIT`` classes branch again on coordinates that their path picks, and what is
+larger even at ``DEPTH`` tokens is compared block against block, in separate tasks.
 
-Only components are wanted, so a node whose classes are already in one component needs no comparison:
+Only components are wanted, so pairs inside one component need no comparison. Three passes over the nodes:
 
-1. Every first-level node links its classes to one pivot. The best of a class's pivots is confirmed on
-   the full sets, and components of the confirmed links are taken.
-2. Nodes that hold two components or more are compared across components: those of up to ``BLOCK``
-   classes at once; larger ones branch until they are small, or hold one component, or the path has
-   ``DEPTH`` tokens. What is larger even then is compared block against block, in separate tasks,
-   so no node is too large and none is dropped.
-3. Pairs whose tokens agree enough are confirmed on the full sets, and components are taken again.
+A. In each node every class is offered the smallest id that it resembles; each class keeps one such offer.
+B. Components that meet in a node offer their most alike pair.
+C. If some pair of B wasn't confirmed though its components had others, all pairs across components that
+   agree enough are taken.
 
-A pair at the threshold 0.8 shares none of the 10 first-level coordinates with probability 0.2^10; it falls
-below ``SLACK`` on 128 tokens with probability 2e-5. Links are confirmed exactly, with integers.
+Pairs are confirmed on the full sets, with integers, after each pass, and components are taken again.
+
+A pair at the threshold 0.8 shares fewer than two of the ten first-level nodes with probability 4e-6, and falls
+below ``SLACK`` on 256 tokens with probability 3e-5.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; a text of fewer words
 than a shingle has one shingle, all its words; equal rows fall into one class; rows with one id count as one
-document, each is returned; a row with a null id is returned unlinked, with a null component, and kept.
+document and must hold one text, each is returned; a row with a null id is returned unlinked, with a null
+component, and kept.
 """
 
 from __future__ import annotations
@@ -34,20 +35,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_batches, materialise, mix64
+from tessella.llm.common import map_batches, materialise, mix64, release
 from tessella.llm.components import components
 from tessella.llm.words import U, window_names, word_fingerprints
 
-TOKENS = 128
+#: Minwise tokens of a class; a byte of each is compared, the first PATHS branch.
+TOKENS, PATHS = 256, 32
 TREES = 5
 #: Coordinates that a node picks for its children.
 BRANCH = 2
-#: Classes that one task compares with as many others.
-BLOCK = 1500
+#: Classes that one task compares with each other.
+LIMIT = 20_000
 #: Tokens of the longest path.
 DEPTH = 5
 #: How far below the threshold the share of equal tokens may fall before a pair isn't confirmed.
-SLACK = 0.15
+SLACK = 0.10
+#: Classes of a node that may become the smallest of their kind in pass A.
+LEADERS = 400
 _factors = mix64(np.arange(1, TOKENS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -65,23 +69,23 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     """``TOKENS`` minima, each under its own multiplicative order, cut to 32 bits."""
     least = np.full(TOKENS, ~U(0))
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 2048):
-            np.minimum(least, (shingles[at : at + 2048, None] * _factors).min(axis=0), out=least)
-    return (mix64(least) >> U(32)).astype(np.uint32).view(np.int32)
+        for at in range(0, len(shingles), 1024):
+            np.minimum(least, (shingles[at : at + 1024, None] * _factors).min(axis=0), out=least)
+    return (mix64(least) >> U(32)).astype(np.uint32)
 
 
 def _summary(width: int):
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, keys, tokens = [], [], []
+        sizes, keys, paths, sketches = [], [], [], []
         for s in shingle_sets(rows.column(1), width):
+            tokens = minwise(s) if len(s) else np.zeros(TOKENS, np.uint32)
             sizes.append(len(s))
             keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            tokens.append(minwise(s) if len(s) else np.zeros(TOKENS, np.int32))
-        ends = pa.array(np.arange(0, TOKENS * len(sizes) + 1, TOKENS, dtype=np.int32))
-        return pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int32)))],
-            ["doc_id", "n_shingles", "set_key", "tokens"],
-        )
+            paths.append(tokens[:PATHS].view(np.int32))
+            sketches.append(tokens.astype(np.uint8).tobytes() if len(s) else None)
+        ends = pa.array(np.arange(0, PATHS * len(sizes) + 1, PATHS, dtype=np.int32))
+        tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(paths) if paths else np.empty(0, np.int32)))
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), tokens, pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "set_key", "tokens", "sketch"])
 
     return batch
 
@@ -105,132 +109,192 @@ def _confirm(percent: int):
     return batch
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full sets are similar enough: 100 * intersection >= percent * union."""
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = materialise(map_batches(texts, _sets(width), "id bigint, shingles binary"), "sets")
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    joined = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return materialise(map_batches(joined.select("a", "b", "x", "y"), _confirm(percent), "a bigint, b bigint"), "links")
 
 
 def _child(path: F.Column, k: int) -> F.Column:
-    """The coordinate that is a path's k-th choice; the choices of one path differ."""
-    first = F.pmod(F.xxhash64(path, F.lit(0)), F.lit(TOKENS))
-    step = F.pmod(F.xxhash64(path, F.lit(1)), F.lit(TOKENS // 2)) * 2 + 1
-    return F.pmod(first + k * step, F.lit(TOKENS)).cast("int")
+    """The coordinate that is a path's k-th choice, beyond those of the roots; the choices of one path differ."""
+    roots = TREES * BRANCH
+    return (F.pmod(F.xxhash64(path, F.lit(0)) + k, F.lit(PATHS - roots)) + roots).cast("int")
 
 
-def branched(members: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Children of the nodes in ``members(node, id)``: node, id."""
+def branched(members: DataFrame) -> DataFrame:
+    """Children of the nodes in ``members(node, id, tokens)``, with the same other columns."""
     kids = F.explode(F.array(*[F.xxhash64("node", _child(F.col("node"), k), F.element_at("tokens", _child(F.col("node"), k) + 1)) for k in range(BRANCH)]))
-    return members.join(tokens, "id").select(kids.alias("node"), "id")
-
-
-def _compare(least_share: float):
-    """Pairs across components, of blocks that lie sorted by cell; a cell's rows may go on in the next batch."""
-
-    def pairs(ids: np.ndarray, comps: np.ndarray, side: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        # side: 0 for a cell of one block, else 1 and 2 for the rows of two blocks.
-        left = np.flatnonzero(side < 2)
-        right = np.flatnonzero(side == 2) if (side == 2).any() else left
-        step = max(1, 4_000_000 // max(1, len(right) * 16))
-        for at in range(0, len(left), step):
-            rows = left[at : at + step]
-            cross = comps[rows][:, None] != comps[right][None, :]
-            if right is left:
-                cross &= ids[rows][:, None] < ids[right][None, :]
-            i, j = np.nonzero(cross)
-            for cut in range(0, len(i), 20_000):
-                a, b = rows[i[cut : cut + 20_000]], right[j[cut : cut + 20_000]]
-                like = (tokens[a] == tokens[b]).mean(axis=1) >= least_share
-                if like.any():
-                    yield ids[a[like]], ids[b[like]]
+    return members.select(kids.alias("kid"), *[c for c in members.columns if c != "node"]).withColumnRenamed("kid", "node")
+
+
+def _alike(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Shares of equal tokens, less what bytes of different tokens agree by chance."""
+    return ((sketches == one).mean(axis=-1) - 1 / 256) * (256 / 255)
+
+
+def leaders(ids: np.ndarray, sketches: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(class, smaller class that it resembles), each class with the smallest that isn't led itself."""
+    order = np.argsort(ids)
+    for _ in range(LEADERS):
+        if len(order) < 2:
+            return
+        like = _alike(sketches[order[1:]], sketches[order[0]]) >= share
+        if like.any():
+            yield ids[order[1:][like]], np.full(int(like.sum()), ids[order[0]])
+        order = order[1:][~like]
+
+
+def across(ids: np.ndarray, comps: np.ndarray, side: np.ndarray, sketches: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Positions of pairs across components that agree enough, and their shares, in chunks; side as in ``_cells``."""
+    values, counts = np.unique(comps, return_counts=True)
+    if len(values) < 2:
+        return
+    # The largest component's classes are only compared with others, not among themselves.
+    main = values[counts.argmax()]
+    left = np.flatnonzero(comps != main) if not side.any() else np.flatnonzero(side == 1)
+    right = np.arange(len(ids)) if not side.any() else np.flatnonzero(side == 2)
+    for i in left:
+        far = right[comps[right] != comps[i]]
+        if not side.any():
+            far = far[(comps[far] == main) | (far > i)]
+        if len(far):
+            like = _alike(sketches[far], sketches[i])
+            good = like >= share
+            if good.any():
+                yield np.full(int(good.sum()), i), far[good], like[good]
+
+
+def _cells(mode: str, share: float):
+    """Runs over cells that lie sorted; a cell's rows may go on in the next batch. Rows: cell, id, comp, side, sketch.
+
+    side is 0 for all rows of a whole cell; where two blocks of a larger node meet it is 1 and 2.
+    """
+
+    def pairs(ids: np.ndarray, comps: np.ndarray, side: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if mode == "A":
+            for x, y in leaders(ids, sketches, share):
+                yield y, x, np.zeros(len(x), bool)
+            return
+        found = across(ids, comps, side, sketches, share)
+        if mode == "C":
+            for i, j, _ in found:
+                yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.zeros(len(i), bool)
+            return
+        best: dict[tuple[int, int], tuple[float, int, int, bool]] = {}
+        for i, j, like in found:
+            order = np.argsort(-like, kind="stable")
+            heads, first, n = np.unique(comps[j[order]], return_index=True, return_counts=True)
+            for comp, at, many in zip(heads.tolist(), order[first].tolist(), n.tolist(), strict=True):
+                key = (min(comp, int(comps[i[0]])), max(comp, int(comps[i[0]])))
+                old = best.get(key)
+                if old is None or like[at] > old[0]:
+                    best[key] = float(like[at]), int(ids[i[0]]), int(ids[j[at]]), many > 1 or old is not None
+                elif not old[3]:
+                    best[key] = (*old[:3], True)
+        if best:
+            a, b = np.array([x[1] for x in best.values()]), np.array([x[2] for x in best.values()])
+            yield np.minimum(a, b), np.maximum(a, b), np.array([x[3] for x in best.values()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            cell = rows["cell"].to_numpy()
-            ids, comps, side = (rows[c].to_numpy() for c in ("id", "comp", "side"))
-            tokens = rows["tokens"].combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)
+            cell, ids, comps, side = (rows[c].to_numpy() for c in ("cell", "id", "comp", "side"))
+            sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, TOKENS)
             cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+            out: list[tuple] = []
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                for a, b in pairs(ids[x:y], comps[x:y], side[x:y], tokens[x:y]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                out += pairs(ids[x:y], comps[x:y], side[x:y], sketches[x:y])
+                if len(out) > 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "more"])
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "more"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
+            cell = batch.column(0).to_numpy()
+            if len(held) > 1 and held[-2].column(0)[-1].as_py() == cell[0] and cell[0] == cell[-1]:
+                continue
             rows = pa.Table.from_batches(held)
             cell = rows["cell"].to_numpy()
-            last = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if (cell != cell[-1]).any() else 0
-            if last:
-                yield from flush(rows.slice(0, last))
-                held = rows.slice(last).to_batches()
+            other = np.flatnonzero(cell != cell[-1])
+            if len(other):
+                yield from flush(rows.slice(0, int(other[-1]) + 1))
+                held = rows.slice(int(other[-1]) + 1).to_batches()
         if held:
             yield from flush(pa.Table.from_batches(held))
 
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs(doc_id, text)``.
 
     Documents are linked when their sets of ``width``-word shingles have at least ``percent`` per cent of their
     union in common; component_id is the smallest id reachable over links, kept whether that is the row's own.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    summary = materialise(map_batches(docs, _summary(width), "doc_id bigint, n_shingles bigint, set_key binary, tokens array<int>"), "summary")
+    summary = materialise(map_batches(docs, _summary(width), "doc_id bigint, n_shingles bigint, set_key binary, tokens array<int>, sketch binary"), "summary")
     known = summary.where("doc_id is not null and set_key is not null")
-    classes = materialise(known.groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
-    tokens = materialise(known.join(classes, "set_key").where("doc_id = id").select("id", "tokens").dropDuplicates(["id"]), "tokens")
-
-    # First level: each tree's root branches on its own coordinates.
-    roots = [F.struct(F.xxhash64(F.lit(t), F.lit(c), F.col("tokens")[c]).alias("node")) for t, c in ((t, (37 * (BRANCH * t + k) + 11) % TOKENS) for t in range(TREES) for k in range(BRANCH))]
-    first = tokens.select("id", F.explode(F.array(*roots)).alias("n")).select(F.col("n.node").alias("node"), "id")
-    pivots = first.groupBy("node").agg(F.count("*").alias("n"), F.min_by("id", F.struct(F.xxhash64("id"), "id")).alias("pivot")).where("n > 1")
-    members = materialise(first.join(pivots.select("node", "pivot"), "node"), "members")
-    share = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda same: same)) / F.lit(float(TOKENS))
+    classes = materialise(known.groupBy("set_key").agg(F.min_by(F.struct("tokens", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("id")).select("set_key", "id", "s.*"), "classes")
+
+    # First level: each tree's root branches on its own coordinates. Only classes that meet others in two nodes can be linked.
+    roots = F.array(*[F.xxhash64(F.lit(c), F.col("tokens")[c]) for c in range(TREES * BRANCH)])
+    first = classes.select("id", F.explode(roots).alias("node"))
+    sizes = first.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    met = first.join(sizes, "node").groupBy("id").agg(F.collect_list(F.struct("node", "n")).alias("nodes")).where(F.size("nodes") >= 2)
+    active = materialise(met.join(classes.select("id", "tokens", "sketch"), "id"), "active")
+    sets = materialise(map_batches(docs.select(F.col("doc_id").alias("id"), "text").join(active.select("id"), "id", "left_semi"), _sets(width), "id bigint, shingles binary"), "sets").dropDuplicates(["id"])
+    release(spark)
+    large = not active.where(F.exists("nodes", lambda x: x["n"] > limit)).isEmpty()
     floor = percent / 100 - SLACK
-    star = members.where("id != pivot").select("id", "pivot").distinct()
-    star = star.join(tokens, "id").join(tokens.select(F.col("id").alias("pivot"), F.col("tokens").alias("others")), "pivot")
-    best = star.withColumn("share", share(F.col("tokens"), F.col("others"))).where(F.col("share") >= floor).groupBy("id").agg(F.max_by("pivot", F.struct("share", -F.col("pivot"))).alias("pivot"))
-    links = confirmed(best.select(F.col("id").alias("a"), F.col("pivot").alias("b")), docs, width, percent)
-    comps = materialise(components(links), "components")
 
-    # Nodes that hold more than one component.
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(comps, "id", "left").select("node", "id", F.coalesce("root", "id").alias("comp"))
-
-    def mixed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("node", "n")
-        rows = materialise(rows.join(sizes, "node"), "mixed")
-        return rows.where(F.col("n") <= BLOCK), rows.where(F.col("n") > BLOCK)
-
-    small, large = mixed(labelled(members.select("node", "id")))
-    cells = [small.select(F.col("node").alias("cell"), "id", "comp", F.lit(0).alias("side"))]
-    for _ in range(DEPTH - 1):
-        if large.isEmpty():
-            break
-        small, large = mixed(labelled(branched(large.select("node", "id"), tokens)))
-        cells.append(small.select(F.col("node").alias("cell"), "id", "comp", F.lit(0).alias("side")))
-    if not large.isEmpty():
-        count = F.ceil(F.col("n") / BLOCK).cast("int")
-        mine = large.withColumn("count", count).withColumn("block", F.pmod(F.xxhash64("id"), F.col("count")).cast("int"))
-        met = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
-        side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-        cells.append(met.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "id", "comp", side.alias("side")))
-    every = cells[0]
-    for c in cells[1:]:
-        every = every.unionByName(c)
-    dealt = every.join(tokens, "id").select("cell", "id", "comp", "side", "tokens").repartition("cell").sortWithinPartitions("cell")
-    more = confirmed(dealt.mapInArrow(_compare(floor), "a bigint, b bigint"), docs, width, percent)
-    final = materialise(components(links.unionByName(more)), "components")
-
-    grouped = classes.join(final, "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
-    out = summary.drop("tokens").join(grouped, "set_key", "left")
-    # Rows of one id with different sets: all get the least component.
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    def cells(comps: DataFrame | None, mode: str) -> DataFrame:
+        rows = active.join(comps, "id", "left") if comps is not None else active.withColumn("root", F.lit(None).cast("long"))
+        rows = rows.select("id", F.coalesce("root", "id").alias("comp"), "sketch", "tokens", F.explode("nodes").alias("x")).select("*", "x.node", "x.n").drop("x")
+        whole = lambda d: d.select(F.col("node").alias("cell"), "id", "comp", F.lit(0).alias("side"), "sketch")
+        out = whole(rows.where(F.col("n") <= limit))
+        if large:
+            big = rows.where(F.col("n") > limit)
+            if mode == "A":
+                # Any part of a large node will do for offers.
+                part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / limit))
+                out = out.unionByName(whole(big.withColumn("node", F.xxhash64("node", part))))
+            else:
+                for _ in range(DEPTH - 1):
+                    kids = branched(big.drop("n"))
+                    count = kids.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q").select("node", "n")
+                    kids = materialise(kids.join(count, "node"), "kids")
+                    out = out.unionByName(whole(kids.where(F.col("n") <= limit)))
+                    big = kids.where(F.col("n") > limit)
+                parts = F.ceil(F.col("n") / limit).cast("int")
+                mine = big.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+                pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+                side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+                out = out.unionByName(pairs.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "id", "comp", side.alias("side"), "sketch"))
+        dealt = out.repartition("cell").sortWithinPartitions("cell")
+        return dealt.mapInArrow(_cells(mode, floor if mode != "A" else percent / 100 + 0.02), "a bigint, b bigint, more boolean")
+
+    offers = cells(None, "A").groupBy("b").agg(F.min("a").alias("a"))
+    links = confirmed(offers, sets, percent)
+    comps = materialise(components(links), "components")
+    release(spark)
+    tested = materialise(cells(comps, "B").groupBy("a", "b").agg(F.max("more").alias("more")), "tested")
+    if not tested.isEmpty():
+        new = confirmed(tested, sets, percent)
+        links = links.unionByName(new)
+        comps = materialise(components(links), "components")
+        release(spark)
+        if not tested.where("more").join(new, ["a", "b"], "left_anti").isEmpty():
+            rest = cells(comps, "C").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+            links = links.unionByName(confirmed(rest, sets, percent))
+            comps = materialise(components(links), "components")
+            release(spark)
+
+    grouped = classes.select("set_key", "id").join(comps, "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
+    out = summary.select("doc_id", "n_shingles", "set_key").join(grouped, "set_key", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
