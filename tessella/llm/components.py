@@ -33,3 +33,12 @@ def components(edges: DataFrame) -> DataFrame:
         later = out.select(F.col("id").alias("to"), F.col("to").alias("then"))
         out = maps.pop().join(later, "to", "left").select("id", F.coalesce("then", "to").alias("to"))
     return out.select("id", F.col("to").alias("root"))
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, root`` when ``links(a, b)`` are added to the components ``found(id, root)``: only their roots are worked on again."""
+    root = lambda c: found.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
+    ends = links.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    moved = materialise(components(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))), "moved")
+    old = found.join(moved.select(F.col("id").alias("root"), F.col("root").alias("then")), "root", "left").select("id", F.coalesce("then", "root").alias("root"))
+    return old.unionByName(moved.join(found.select("id"), "id", "left_anti"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import map_batches, materialise, mix64, release
-from tessella.llm.components import components
+from tessella.llm.components import components, merged
 from tessella.llm.words import U, window_names, word_fingerprints
 
 #: Minwise tokens of a class; a byte of each is compared, the first PATHS branch.
@@ -280,19 +280,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, limit: i
         return dealt.mapInArrow(_cells(mode, floor if mode != "A" else percent / 100 + 0.02), "a bigint, b bigint, more boolean")
 
     offers = cells(None, "A").groupBy("b").agg(F.min("a").alias("a"))
-    links = confirmed(offers, sets, percent)
-    comps = materialise(components(links), "components")
+    comps = materialise(components(confirmed(offers, sets, percent)), "components")
     release(spark)
     tested = materialise(cells(comps, "B").groupBy("a", "b").agg(F.max("more").alias("more")), "tested")
     if not tested.isEmpty():
         new = confirmed(tested, sets, percent)
-        links = links.unionByName(new)
-        comps = materialise(components(links), "components")
+        comps = materialise(merged(comps, new), "components")
         release(spark)
         if not tested.where("more").join(new, ["a", "b"], "left_anti").isEmpty():
             rest = cells(comps, "C").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-            links = links.unionByName(confirmed(rest, sets, percent))
-            comps = materialise(components(links), "components")
+            comps = materialise(merged(comps, confirmed(rest, sets, percent)), "components")
             release(spark)
 
     grouped = classes.select("set_key", "id").join(comps, "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
