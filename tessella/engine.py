@@ -25,7 +25,7 @@ from tessella.sources.csv import read_csv, write_csv
 from tessella.sql.translate import Translator, strip_comments, tokenize, translate
 from tessella.types import SQL_TYPES, sql_name
 
-SYSTEM = ("z1db_tables", "z1db_columns")
+SYSTEM = ("sys_tables", "sys_columns")
 
 
 @dataclass

@@ -141,6 +141,6 @@ def test_tools(engine: Engine) -> None:
     assert engine.execute("EXPLAIN SELECT * FROM users").columns == ["Plan"]
     stats = {r.column_name: r for r in engine.analyze_table("ntest").collect()}
     assert (stats["a"].row_count, stats["a"].null_count, stats["a"].min, stats["a"].max) == (5, 2, "10", "50")
-    assert ["users", False] in rows(engine, "SELECT table_name, is_system FROM z1db_tables")
+    assert ["users", False] in rows(engine, "SELECT table_name, is_system FROM sys_tables")
     with pytest.raises(SemanticError):
-        engine.execute("DELETE FROM z1db_tables")
+        engine.execute("DELETE FROM sys_tables")
