@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, chat, decontamination, near_duplicates, neighbours, substrings, toxicity, warc
+from tessella.llm import bpe, chat, decontamination, licenses, near_duplicates, neighbours, quality, substrings, toxicity, warc
 from tessella.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document's quality from its text, its source and its language within the source."""
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, at paths of source, language and id; documents of ids that end in 00 are named LICENSE."""
+    name = F.when(F.col("doc_id") % 100 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), name)
+    return licenses.licences(table(spark, sf_dir, "documents"), path)
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every fiftieth vector among all others."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
@@ -62,7 +74,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op3_neighbours": op3_neighbours, "op5_warc": op5_warc, "op6_near_duplicates": op6_near_duplicates, "op7_decontamination": op7_decontamination, "op8_toxicity": op8_toxicity, "op9_substrings": op9_substrings, "op10_chat": op10_chat, "pipeline": corpus_pipeline.run}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op4_licenses": op4_licenses, "op3_neighbours": op3_neighbours, "op5_warc": op5_warc, "op6_near_duplicates": op6_near_duplicates, "op7_decontamination": op7_decontamination, "op8_toxicity": op8_toxicity, "op9_substrings": op9_substrings, "op10_chat": op10_chat, "pipeline": corpus_pipeline.run}
 
 
 OP5_SQL = """
