@@ -32,7 +32,7 @@ DAMPING = 0.5
 def statistics(text: str) -> list[int]:
     """The bucket of each statistic of a whole text."""
     words, n = text.split(), max(1, len(text))
-    lines = [line for line in text.split("\n") if line]
+    lines = [line for line in text.split("\n") if line.strip()]
     letters = sum(map(len, words))
     plain = text.translate(_DROPPED)
     shares = (
@@ -40,7 +40,7 @@ def statistics(text: str) -> list[int]:
         len(set(words)) / max(1, len(words)),
         letters / max(1, len(words)) / 16,
         sum(map(str.isupper, words)) / max(1, len(words)),
-        5 * (n - len(plain) - text.count(" ") - text.count("\n")) / n,
+        5 * (len(text) - len(plain) - text.count(" ") - text.count("\n")) / n,
         5 * sum(text.count(d) for d in "0123456789") / n,
         len(set(lines)) / max(1, len(lines)),
     )
