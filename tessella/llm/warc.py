@@ -1,10 +1,11 @@
 """WARC archives with a two-level capture index.
 
 Writing: every partition writes archives of gzip members, one record each, and the captures' places.
-Of pages with equal payloads of ``LEAST`` bytes or more, the one with the smallest id becomes a response;
-the others become revisit records, which hold headers only and refer to it.
+Of pages with equal payloads of ``LEAST`` bytes or more, those with the smallest id become responses;
+the others become revisit records, which hold headers only and refer to the first of them. Every row gets a
+number when the pages are read; record ids are made from it, so that rows of one page id stay apart.
 
-Indexing: captures are range-partitioned and sorted by reversed-host URL key and page id. Each partition
+Indexing: captures are range-partitioned and sorted by reversed-host URL key, page id and place. Each partition
 becomes one index file: gzip blocks of ``BLOCK_LINES`` lines, then a directory with the first key and place
 of each block, then the directory's place. What the driver holds is the first key of each index file: as
 many entries as partitions, whatever the number of captures.
@@ -17,10 +18,9 @@ Files are opened with pyarrow's file systems (file, hdfs, s3, gs), in the folder
 A task names its file at random and hands on only rows of its own file: what lost or repeated attempts
 wrote is never read.
 
-Edge cases: a null html is an empty payload; a null url is an empty one; null page ids are refused with
-an error, as records couldn't be told apart; pages with one id and url are told apart by their order of
-writing only if their payloads are equal, so page ids should be unique; repeated urls are captures of one
-key in the order of their ids.
+Edge cases: a null html is an empty payload; a null url is an empty one; rows with a null page id are
+responses and are looked up by null; a look-up gives all captures of a page id and key, so rows with one id
+and url come back each with its own payload; repeated urls are captures of one key in the order of their ids.
 """
 
 from __future__ import annotations
@@ -64,23 +64,25 @@ def url_key(url: str) -> str:
     return ",".join(reversed(name.split("."))) + colon + port + ")/" + path + (("?" + "&".join(sorted(query.split("&")))) if query else "")
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{page_id}')}>"
+def record_id(page_id: int | None, number: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{page_id}:{number}')}>"
 
 
-def _when(page_id: int) -> str:
-    """A capture time that depends on the page only, so that writing again gives the same bytes."""
-    return datetime.fromtimestamp(1_700_000_000 + page_id % 10_000_000, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+def _when(page_id: int | None) -> str:
+    """A capture time that depends on the page only."""
+    return datetime.fromtimestamp(1_700_000_000 + (page_id or 0) % 10_000_000, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def make_record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One gzip member with a response or revisit record."""
+def make_record(page_id: int | None, number: int, url: str, payload: bytes, digest: str, refers_to: tuple[int, int] | None) -> bytes:
+    """One gzip member with a response record, or a revisit record that refers to a page id and row number."""
     size = len(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    head = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": record_id(page_id), "WARC-Date": _when(page_id), "WARC-Target-URI": re.sub(r"[\r\n]", "", url)}
-    head |= {"WARC-Payload-Digest": f"sha256:{digest}", "X-Payload-Length": str(size), "X-Page-ID": str(page_id), "Content-Type": "application/http;msgtype=response"}
+    head = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": record_id(page_id, number), "WARC-Date": _when(page_id), "WARC-Target-URI": re.sub(r"[\r\n]", "", url)}
+    head |= {"WARC-Payload-Digest": f"sha256:{digest}", "X-Payload-Length": str(size), "Content-Type": "application/http;msgtype=response"}
+    if page_id is not None:
+        head["X-Page-ID"] = str(page_id)
     if refers_to is not None:
-        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers_to), "X-Refers-To-Page": str(refers_to)}
+        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(*refers_to), "X-Refers-To-Page": str(refers_to[0])}
     block = http if refers_to is not None else http + payload
     head["Content-Length"] = str(len(block))
     raw = ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + block + b"\r\n\r\n"
@@ -110,9 +112,11 @@ def _opened(path: str) -> tuple[pafs.FileSystem, str]:
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write ``pages(page_id, url, html)`` to ``folder``; the captures: key, page_id, file, place, size, kind."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).select("*", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
+    # Written, as a row's number must stay the same whenever the row is read.
+    pages = materialise(pages.withColumn("number", F.monotonically_increasing_id()), "pages")
     big = pages.where(F.octet_length("html") >= LEAST)
-    firsts = materialise(big.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id"), "firsts")
-    dealt = pages.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", "first_id")
+    firsts = materialise(big.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "number"))).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.number").alias("first_number")), "firsts")
+    dealt = pages.join(firsts, "digest", "left").select("page_id", "number", "url", "html", "digest", "first_id", "first_number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _opened(folder)
@@ -121,16 +125,14 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             for batch in batches:
                 fs.create_dir(root, recursive=True)
                 rows = []
-                for page, url, html, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if page is None:
-                        raise ValueError("a page has no page_id")
+                for page, number, url, html, digest, first, first_number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if out is None or place >= ARCHIVE_BYTES:
                         if out is not None:
                             out.close()
                         name, place = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                    kind = "revisit" if first is not None and first != page else "response"
-                    member = make_record(page, url, html.encode(), digest, first if kind == "revisit" else None)
+                    kind = "revisit" if first is not None and page is not None and first != page else "response"
+                    member = make_record(page, number, url, html.encode(), digest, (first, first_number) if kind == "revisit" else None)
                     out.write(member)
                     rows.append((url_key(url), page, name, place, len(member), kind))
                     place += len(member)
@@ -142,7 +144,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return materialise(dealt.mapInArrow(run, "key string, page_id bigint, file string, place bigint, size bigint, kind string"), "captures")
 
 
-def write_index(captures: DataFrame, folder: str) -> list[tuple[str, int, str]]:
+def _order(key: str, page_id: int | None) -> tuple[str, bool, int]:
+    """Spark's ascending order of key and page id: nulls first."""
+    return key, page_id is not None, page_id or 0
+
+
+def write_index(captures: DataFrame, folder: str) -> list[tuple[str, int | None, str]]:
     """Write the two-level index to ``folder``; first key, first page id and name of each of its files, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,28 +180,36 @@ def write_index(captures: DataFrame, folder: str) -> list[tuple[str, int, str]]:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([directory[0][1]], pa.int64()), pa.array([name])], ["key", "page_id", "name"])
 
-    spread = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    by = ("key", "page_id", "file", "place")
+    spread = captures.repartitionByRange(*by).sortWithinPartitions(*by)
     files = materialise(spread.mapInArrow(run, "key string, page_id bigint, name string"), "index")
     # One row for each index file: as many as partitions.
-    return sorted((r.key, r.page_id, r.name) for r in files.collect())
+    return sorted(((r.key, r.page_id, r.name) for r in files.collect()), key=lambda f: (*_order(*f[:2]), f[2]))
 
 
 class IndexReader:
     """Looks up captures by key and page id; keeps the directory and block it read last."""
 
-    def __init__(self, folder: str, files: list[tuple[str, int, str]]) -> None:
+    def __init__(self, folder: str, files: list[tuple[str, int | None, str]]) -> None:
         (self.fs, self.root), self.files = _opened(folder), files
-        self.firsts = [f[:2] for f in files]
+        self.firsts = [_order(*f[:2]) for f in files]
         self.name, self.open, self.directory, self.starts, self.at, self.block = "", None, [], [], -1, {}
 
-    def file_of(self, key: str, page_id: int) -> int:
-        return max(0, bisect.bisect_right(self.firsts, (key, page_id)) - 1)
+    def files_of(self, key: str, page_id: int | None) -> range:
+        """The files that may hold a pair: captures of one pair can go on from file to file."""
+        wanted = _order(key, page_id)
+        last = max(0, bisect.bisect_right(self.firsts, wanted) - 1)
+        return range(min(last, max(0, bisect.bisect_left(self.firsts, wanted) - 1)), last + 1)
+
+    def find(self, key: str, page_id: int | None) -> tuple[str, int, int, str] | None:
+        """Archive, place, size and kind of a pair's first capture, or None."""
+        return next((x for n in self.files_of(key, page_id) for x in self.find_all(n, key, page_id)), None)
 
-    def find(self, key: str, page_id: int) -> tuple[str, int, int, str] | None:
-        """Archive, place, size and kind of a capture, or None."""
+    def find_all(self, part: int, key: str, page_id: int | None) -> Iterator[tuple[str, int, int, str]]:
+        """Archive, place, size and kind of all captures of a pair in one file."""
         if not self.files:
-            return None
-        name = self.files[self.file_of(key, page_id)][2]
+            return
+        name = self.files[part][2]
         if name != self.name:
             if self.open is not None:
                 self.open.close()
@@ -202,35 +217,57 @@ class IndexReader:
             size = self.open.size()
             place, length = struct.unpack("<QQ", self.open.read_at(16, size - 16))
             self.directory = json.loads(zlib.decompress(self.open.read_at(length, place)))
-            self.starts = [tuple(d[:2]) for d in self.directory]
-        at = bisect.bisect_right(self.starts, (key, page_id)) - 1
-        if at < 0:
-            return None
-        if at != self.at:
-            place, length = self.directory[at][2:]
-            lines = zlib.decompress(self.open.read_at(length, place)).decode().splitlines()
-            self.at, self.block = at, {(x[0], x[1]): tuple(x[2:]) for x in map(json.loads, lines)}
-        return self.block.get((key, page_id))
+            self.starts = [_order(*d[:2]) for d in self.directory]
+        wanted = _order(key, page_id)
+        # A pair that begins a block may have captures at the end of the one before.
+        at = max(0, bisect.bisect_left(self.starts, wanted) - 1)
+        while at < len(self.starts) and self.starts[at] <= wanted:
+            if at != self.at:
+                place, length = self.directory[at][2:]
+                # Only the line feed parts lines: other separators stand inside of texts.
+                lines = zlib.decompress(self.open.read_at(length, place)).decode().split("\n")
+                self.at, self.block = at, {}
+                for x in map(json.loads, filter(None, lines)):
+                    self.block.setdefault((x[0], x[1]), []).append(tuple(x[2:]))
+            yield from self.block.get((key, page_id), ())
+            at += 1
 
 
 def look_up(wanted: DataFrame, folder: str, files: list[tuple[str, int, str]]) -> DataFrame:
-    """page_id, file, place, size, kind of ``wanted(page_id, url)``; places are null where nothing was captured."""
+    """page_id, file, place, size, kind of all captures of each distinct pair of ``wanted(page_id, url)``; places are null where nothing was captured."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = IndexReader(folder, files)
         for b in batches:
-            ids, found = b.column(0).to_pylist(), [url_key(u or "") for u in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([reader.file_of(k, i) for i, k in zip(ids, found, strict=True)], pa.int32()), b.column(0), pa.array(found, pa.string())], ["part", "page_id", "key"])
+            pairs = zip(b.column(0).to_pylist(), [url_key(u or "") for u in b.column(1).to_pylist()], strict=True)
+            rows = [(n, i, k, len(parts) == 1) for i, k in pairs for parts in (reader.files_of(k, i),) for n in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int32(), pa.int64(), pa.string(), pa.bool_()))], ["part", "page_id", "key", "only"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = IndexReader(folder, files)
-        for b in batches:
-            rows = [reader.find(k, i) or (None,) * 4 for i, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["page_id", "file", "place", "size", "kind"])
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], ["page_id", "file", "place", "size", "kind"])
+            rows.clear()
+            return made
 
-    parts = wanted.select(F.col("page_id").cast("long").alias("page_id"), "url").where("page_id is not null").mapInArrow(keys, "part int, page_id bigint, key string")
-    return parts.repartitionByRange("part", "key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(find, "page_id bigint, file string, place bigint, size bigint, kind string")
+        for b in batches:
+            for n, i, k, only in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = False
+                for capture in reader.find_all(n, k, i):
+                    found = True
+                    rows.append((i, *capture))
+                    if len(rows) >= 10_000:
+                        yield out()
+                if only and not found:
+                    rows.append((i, None, None, None, None))
+            if rows:
+                yield out()
+
+    # Urls of one key are one pair.
+    parts = wanted.select(F.col("page_id").cast("long").alias("page_id"), "url").distinct().mapInArrow(keys, "part int, page_id bigint, key string, only boolean").distinct()
+    return parts.repartitionByRange("part", "key", "page_id").sortWithinPartitions("part", "key", "page_id").mapInArrow(find, "page_id bigint, file string, place bigint, size bigint, kind string")
 
 
 def read_records(places: DataFrame, folder: str) -> DataFrame:
@@ -259,7 +296,7 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
                     span, held = place, source.read_at(end - place, place)
                 fields, payload = read_record(held[place - span : place - span + size])
                 kind = fields["WARC-Type"]
-                if int(fields["X-Page-ID"]) != page:
+                if fields.get("X-Page-ID") != (None if page is None else str(page)):
                     raise ValueError(f"the index leads page {page} to another record")
                 rows.append((page, payload.decode() if kind == "response" else None, int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:"), kind, int(fields["X-Refers-To-Page"]) if kind == "revisit" else None))
                 if kind == "response" and len(payload) != rows[-1][2]:

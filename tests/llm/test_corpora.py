@@ -150,6 +150,30 @@ def test_warc(spark: SparkSession) -> None:
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_keeps_every_row(spark: SparkSession) -> None:
+    odd = [f"http://a.example/x{c}y" for c in "\u2028\u2029\u0085"]
+    rows = [(None, "http://a.example/", "no id"), (None, "http://a.example/", "no id, too"), (None, None, None), (7, "http://a.example/7", "first"), (7, "http://a.example/7", "second"), (7, "http://www.a.example/7", "third"), (7, "http://a.example/7", "first")]
+    rows += [(20 + k, u, f"page {k}") for k, u in enumerate(odd)] + [(k, "http://b.example/", "z" * 200) for k in (None, 31, 30, 30)] + [(50, "http://b.example/many", f"{k}") for k in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.round_trip(pages).collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in got) == sorted((str(i), len(h or ""), "revisit" if i == 31 else "response", "30" if i == 31 else "None") for i, _, h in rows)
+    assert sorted((str(r.page_id), r.payload) for r in got if r.page_id != 31) == sorted((str(i), h or "") for i, _, h in rows if i != 31)
+
+
+def test_warc_captures_of_one_pair_go_on_over_blocks_and_files(spark: SparkSession, tmp_path: object) -> None:
+    key = warc.url_key("http://a.example/")
+    captures = [(key, i, "f", k, 1, "response") for k, i in enumerate([None] * 5200 + [1, 2])]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one file
+    try:
+        files = warc.write_index(spark.createDataFrame(captures, "key string, page_id long, file string, place long, size long, kind string"), f"{tmp_path}/index")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) > 1
+    wanted = spark.createDataFrame([(None, "http://a.example/"), (None, "http://www.a.example/"), (2, "http://a.example/"), (3, "http://a.example/")], "page_id long, url string")
+    got = sorted(((r.page_id, r.place) for r in warc.look_up(wanted, f"{tmp_path}/index", files).collect()), key=str)
+    assert got == sorted([(None, k) for k in range(5200)] + [(2, 5201), (3, None)], key=str)
+
+
 def test_warc_index_of_many_blocks(spark: SparkSession, tmp_path: object, monkeypatch: pytest.MonkeyPatch) -> None:
     captures = [(warc.url_key(f"http://h{k % 7}.example/{k}"), k, "f", k, 1, "response") for k in range(3000)]
     files = warc.write_index(spark.createDataFrame(captures, "key string, page_id long, file string, place long, size long, kind string"), f"{tmp_path}/index")
