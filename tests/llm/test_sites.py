@@ -58,3 +58,22 @@ def test_cosine_by_definition() -> None:
     x, y = licenses.weights("under the MIT License today", idf), licenses.weights(licenses.TEMPLATES["MIT"], idf)
     dot = sum(x.get(t, 0) * y.get(t, 0) for t in set(x) | set(y))
     assert licenses.cosine(x, y) == pytest.approx(dot / math.sqrt(sum(v * v for v in x.values())) / math.sqrt(sum(v * v for v in y.values())))
+
+
+def test_real_headers_and_texts() -> None:
+    idf = dict.fromkeys(licenses.VOCABULARY, 4.0) | dict.fromkeys("the of and to a in is for this or you that it with".split(), 1.5) | {"": 4.0}
+    match = licenses.Matcher(idf)
+    code = "\nimport os\n\n\ndef walk(path):\n    return os.listdir(path)\n"
+    full = {n: t for tier, n, t in licenses.ALL if tier == 3}
+    cases = [
+        ("MIT License", "MIT"), ("The MIT License (MIT)", "MIT"), ("# SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("/* SPDX-License-Identifier: GPL-3.0-or-later */", "GPL-3.0"),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0"), ("GNU GENERAL PUBLIC LICENSE", "GPL"), ("A licensed driver reads the general terms", None), ("SPDX-License-Identifier: Zlib", None),
+        ("// Copyright 2019 The Authors\n//\n" + "\n".join("// " + x for x in licenses.HEADERS["Apache-2.0"].split("\n")), "Apache-2.0"),
+        ("/*\n * Copyright (C) 2011 Jane Doe\n *\n" + "\n".join(" * " + x for x in licenses.HEADERS["GPL-3.0"].split("\n")) + "\n */", "GPL-3.0"),
+        ("# Copyright (c) 2015, Jane Doe. All rights reserved.\n" + "\n".join("# " + x for x in licenses.HEADERS["BSD-3-Clause"].split("\n")), "BSD-3-Clause"),
+        ("Copyright (c) 2015 Jane Doe\n\n" + licenses.HEADERS["MIT"], "MIT"),
+    ]
+    for text, name in cases:
+        assert match(text + code)[0] == name, text
+    for name, text in full.items():
+        assert match(text)[0] == match("Third-party notices\n\n" + text + code)[0] == name
