@@ -7,7 +7,7 @@ the rarest give possible starts, and a start stays only if the second rarest sta
 then all others. As lists of one document lie together, the intersections need no exchange; only the few
 postings of rarest terms are ever joined with the phrases. Rarity is counted over the whole index.
 
-``near`` gives proximity matches: all terms of a phrase within a span, in any order.
+``near`` gives proximity matches: all terms of a phrase, each as often as in it, in one stretch of ``span`` words, in any order.
 
 The phrases' side of the join is broadcast only if it was counted to have at most ``BROADCAST_ROWS`` rows; otherwise
 both sides are dealt by term.
@@ -79,9 +79,26 @@ def occurrences(index: DataFrame, rarest: DataFrame) -> DataFrame:
 
 
 def near(index: DataFrame, rarest: DataFrame, span: int) -> DataFrame:
-    """doc_id, pos, phrase: places of a rarest term around which all terms of its phrase stand within ``span`` words."""
-    around = _bounded(rarest, postings(index), "term").withColumn("near", F.slice("terms", F.greatest(F.col("pos") - span + 2, F.lit(1)), 2 * span - 1))
-    return around.where(F.forall("phrase", lambda t: F.array_contains("near", t))).select("doc_id", "pos", "phrase")
+    """doc_id, pos, phrase: places of a rarest term in a stretch of ``span`` words that holds each term as often as its phrase does."""
+    needs = F.transform(F.array_distinct("phrase"), lambda t: F.struct(t.alias("term"), F.size(F.filter("phrase", lambda x: x == t)).alias("n")))
+    low = F.greatest(F.col("pos") - span + 1, F.lit(0))
+    around = _bounded(rarest.withColumn("needs", needs), postings(index), "term").withColumn("low", low).withColumn("near", F.slice("terms", F.col("low") + 1, F.col("pos") - F.col("low") + span))
+    some = around.where(F.forall("phrase", lambda t: F.array_contains("near", t)))
+
+    def holds(start: F.Column) -> F.Column:
+        stretch = F.slice("near", start + 1, span)
+        return F.forall("needs", lambda need: F.size(F.filter(stretch, lambda x: x == need["term"])) >= need["n"])
+
+    return some.where(F.exists(F.sequence(F.lit(0), F.col("pos") - F.col("low")), holds)).select("doc_id", "pos", "phrase")
+
+
+def proximity(docs: DataFrame, items: DataFrame, width: int = 8, span: int = 12) -> DataFrame:
+    """doc_id, n_near of every row of ``docs(doc_id, text)``: items with a phrase whose words stand within ``span`` words."""
+    index = build_index(docs)
+    of_items = materialise(phrases(items, width), "phrases")
+    found = near(index, ranked(of_items.select("phrase").distinct(), index), span).select("doc_id", "phrase").distinct()
+    counts = found.join(of_items, "phrase").select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.count("*").alias("n"))
+    return index.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_near"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 8, least_items: int = 2) -> DataFrame:

@@ -52,6 +52,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count benchmark items of which eight words in a row stand within twelve words of a document, in any order."""
+    return decontamination.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document; labels of held-out rows are never seen."""
     found = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -74,7 +79,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op4_licenses": op4_licenses, "op3_neighbours": op3_neighbours, "op5_warc": op5_warc, "op6_near_duplicates": op6_near_duplicates, "op7_decontamination": op7_decontamination, "op8_toxicity": op8_toxicity, "op9_substrings": op9_substrings, "op10_chat": op10_chat, "pipeline": corpus_pipeline.run}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op4_licenses": op4_licenses, "op3_neighbours": op3_neighbours, "op5_warc": op5_warc, "op6_near_duplicates": op6_near_duplicates, "op7_decontamination": op7_decontamination, "op7_proximity": op7_proximity, "op8_toxicity": op8_toxicity, "op9_substrings": op9_substrings, "op10_chat": op10_chat, "pipeline": corpus_pipeline.run}
 
 
 OP5_SQL = """

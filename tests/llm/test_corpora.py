@@ -126,6 +126,28 @@ def test_decontamination(spark: SparkSession) -> None:
     assert decontamination.near(index, phrases, 20).count() >= decontamination.occurrences(index, phrases).count() > 0
 
 
+def test_near_equals_brute_force(spark: SparkSession) -> None:
+    dice = random.Random(5)
+    docs = [(k, " ".join(dice.choice("abcdefg") for _ in range(dice.randrange(40)))) for k in range(60)]
+    items = [(k, " ".join(dice.choice("abcdefgz" if k == 0 else "abcdefg") for _ in range(4))) for k in range(12)] + [(90, "a a b"), (91, "c")]
+    index = decontamination.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    rarest = decontamination.ranked(decontamination.phrases(spark.createDataFrame(items, "item_id long, text string"), 4).select("phrase").distinct(), index)
+    term = {tuple(r.phrase): r.term for r in rarest.collect()}
+    for span in (3, 5):
+        got = {(r.doc_id, r.pos, tuple(r.phrase)) for r in decontamination.near(index, rarest, span).collect()}
+        expected = set()
+        for i, text in docs:
+            words = text.split()
+            for s in range(len(words)):
+                window = words[s : s + span]
+                for phrase, rare in term.items():
+                    if all(window.count(t) >= phrase.count(t) for t in phrase):
+                        expected |= {(i, s + k, phrase) for k, w in enumerate(window) if w == rare}
+        assert got == expected
+    near = decontamination.proximity(spark.createDataFrame([(1, "x b y a q"), (2, "b x x x x x x x x x x x x a"), (3, None), (None, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b"), (2, "b a"), (3, "a a")], "item_id long, text string"))
+    assert sorted(map(tuple, near.collect()), key=str) == sorted([(1, 2), (2, 0), (3, 0), (None, 0)], key=str)
+
+
 def test_components(spark: SparkSession) -> None:
     dice = random.Random(6)
     links = [(dice.randrange(80), dice.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 130)] + [(200, k) for k in range(150, 200)]
