@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import regex
@@ -68,7 +68,7 @@ class Layout:
     """Where a JSON layout keeps its turns.
 
     turns: path of the array of turns, with the fields of role and text in each; or pairs of
-    (role, path) that are turns by themselves, left out when missing or empty.
+    (role, path) that are turns by themselves, left out when missing or empty unless the layout requires them.
     """
 
     name: str
@@ -129,7 +129,9 @@ def canonical(value: dict, layout: Layout) -> list[tuple[str, str]]:
     if layout.array:
         rows = [t for t in value.get(layout.array) or [] if isinstance(t, dict)]
         return [(named.get(r := say(t.get(layout.role)), r), say(t.get(layout.text))) for t in rows]
-    return [(role, say(value[f])) for role, f in layout.fields if value.get(f) not in (None, "")]
+    # A field that the layout requires is a turn even if it is empty.
+    needed = {r.rpartition(":")[0] for r in layout.required}
+    return [(role, say(value[f])) for role, f in layout.fields if f in needed or value.get(f) not in (None, "")]
 
 
 def parse_layouts(df: DataFrame, id_col: str, json_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
@@ -155,6 +157,32 @@ def parse_layouts(df: DataFrame, id_col: str, json_col: str, layouts: tuple[Layo
     return df.select(id_col, json_col).mapInArrow(run, f"conv_id {kind}, fingerprint string, layout string, turns array<struct<turn bigint, role string, text string>>")
 
 
+#: The layouts of arrays for turns whose roles are canonical already: none is renamed.
+AS_NAMED = tuple(replace(x, roles=()) for x in LAYOUTS if x.array)
+
+
+def in_layouts(turns: DataFrame) -> DataFrame:
+    """id (conv_id, turn), raw of every row: the turn as JSON, in a layout that depends on its conversation.
+
+    A row holds one turn of its conversation, so that a conversation's length doesn't matter.
+    """
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
+    made = [F.to_json(F.struct(F.array(F.struct(role.alias(x.role), text.alias(x.text))).alias(x.array))) for x in AS_NAMED]
+    pick = F.pmod(F.coalesce(F.col("conv_id").cast("long"), F.lit(0)), F.lit(len(made)))
+    raw = made[-1]
+    for k, json_text in enumerate(made[:-1]):
+        raw = F.when(pick == k, json_text).otherwise(raw)
+    return turns.select(F.struct(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn")).alias("id"), raw.alias("raw"))
+
+
+def from_layouts(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text of ``in_layouts`` rows, by the mapping that each row's fingerprint selects; a row that no mapping fits is an error."""
+    found = parse_layouts(rows, "id", "raw", AS_NAMED)
+    fit = F.when(F.col("layout").isNotNull(), F.col("turns")).otherwise(F.raise_error(F.lit("no layout fits a turn")))
+    said = found.select("conv_id", F.explode(fit).alias("t"))
+    return said.select(F.col("conv_id.conv_id").alias("conv_id"), F.col("conv_id.turn").alias("turn"), "t.role", "t.text")
+
+
 def _ordered(turns: DataFrame) -> DataFrame:
     cols = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
     return turns.select(*cols).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
-from tessella.llm import bpe, chat, toxicity
+from tessella.llm import bpe, chat, queries, toxicity
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+HARD = '\u2028"\\ ### Assistant: </turn>\n\x01é'
 TRICKY = ["", " \n", "Hello, World's 123²!", "we'll've 'S", "a<|endoftext|>b <|startoftext|>", "ΣΑΣ İstanbul ﬁ é", "x\x1cy z", "a" * 3000, "!?" * 400, "日本語 текст", "🙂👍🏽"]
 
 
@@ -85,6 +86,21 @@ def test_chat_layouts(spark: SparkSession) -> None:
     assert [(t.role, t.text) for t in got[3].turns] == [("user", "q"), ("assistant", "z")]
 
 
+def test_chat_goes_through_layouts(spark: SparkSession, tmp_path: object, monkeypatch: pytest.MonkeyPatch) -> None:
+    rows = [(k, t, r, x) for k in (0, 1, 2, -4, None) for t, r, x in [(0, "user", ""), (1, "assistant", HARD), (2, "human", None), (None, None, "first"), (1, "assistant", HARD)]]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    layouts = {r.layout for r in chat.parse_layouts(chat.in_layouts(turns), "id", "raw").collect()}
+    assert layouts == {"messages", "conversations", "turns"}
+    back = chat.from_layouts(chat.in_layouts(turns))
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(((i, t, r or "", x or "") for i, t, r, x in rows), key=str)
+    assert sorted(chat.digests(back).collect(), key=str) == sorted(chat.digests(turns).collect(), key=str)
+    assert chat.canonical({"prompt": "", "completion": "b"}, next(x for x in chat.LAYOUTS if x.name == "prompt")) == [("user", ""), ("assistant", "b")]
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    seen = []
+    monkeypatch.setattr(chat, "parse_layouts", lambda *a, f=chat.parse_layouts: seen.append(a) or f(*a))
+    assert queries.op10_chat(spark, str(tmp_path)).count() == 6 and seen
+
+
 def test_toxic_words_are_restored(spark: SparkSession) -> None:
     docs = spark.createDataFrame([(k, f"you are an idiot and stupid trash {k}" if k % 4 == 0 else f"you are a good friend and number {k} here") for k in range(400)] + [(900, "1d10t here"), (901, "s t u p i d"), (902, "stuuupid!"), (903, "plain good friend"), (904, None), (None, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
