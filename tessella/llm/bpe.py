@@ -8,7 +8,7 @@ two tokens are compatible if undoing them towards their common border, latest me
 meets a merge that would have joined them earlier. That gives exactly the merges of BPE in time
 linear in the word, as each place is given up at most once.
 
-Words recur, so each Python worker keeps a bounded memo from word to its tokens.
+Words recur, so each task keeps a bounded memo from word to its tokens, and drops it at its end.
 
 Edge cases: a null text counts as empty and has no tokens; strings of special tokens inside a
 text become those tokens, as in the tokenizers library; equal rows give equal results; other
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from tessella.llm.common import map_batches, texts
 
 #: Entries of a generation of a worker's memos: stretches between white space, words, pairs of tokens.
-MEMO_STRETCHES, MEMO_WORDS, MEMO_PAIRS = 250_000, 150_000, 200_000
+MEMO_STRETCHES, MEMO_WORDS, MEMO_PAIRS = 60_000, 40_000, 60_000
 #: Longer words aren't kept.
 MEMO_LENGTH = 64
 END = "</w>"
@@ -56,6 +56,10 @@ class Memo(dict):
     def __init__(self, make: Callable, most: int) -> None:
         self.make, self.most, self.older = make, most, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def __missing__(self, key):
         if (found := self.older.get(key)) is None:
             found = self.make(key)
@@ -215,6 +219,13 @@ class WordBpe:
 _by_digest: dict[str, WordBpe] = {}
 
 
+def _forget() -> None:
+    """At a task's end: workers are reused, and what they remember is memory of their executor."""
+    for model in _by_digest.values():
+        for memo in (model.memo, model.memo_words, model.memo_pairs):
+            memo.forget()
+
+
 def _held(vocabulary: Broadcast, digest: str) -> WordBpe:
     """One model for each Python worker and vocabulary; workers are reused over tasks."""
     if digest not in _by_digest:
@@ -241,7 +252,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         return pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], [id_col, "token_ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_batches(df.select(id_col, text_col), batch, f"`{id_col}` {kind}, token_ids array<int>")
+    return map_batches(df.select(id_col, text_col), batch, f"`{id_col}` {kind}, token_ids array<int>", after=_forget)
 
 
 def decode_documents(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -276,4 +287,4 @@ def round_trip(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), te
         return pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *made], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(df.select(*keep, text_col), batch, f"{kinds}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_batches(df.select(*keep, text_col), batch, f"{kinds}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", after=_forget)

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,14 +63,36 @@ def release(spark: SparkSession, *paths: str) -> None:
     spark._jvm.System.gc()
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 256) -> DataFrame:
-    """``mapInArrow`` over slices of at most ``rows`` rows, which bounds what Python holds at once."""
+#: Bytes of variable-length values that Python works on at once; a single longer row is worked on alone.
+BATCH_BYTES = 2 << 20
+
+
+def sliced(batch: pa.RecordBatch, rows: int = 256, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and, unless one row has more, about ``size`` bytes."""
+    weights = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            weights += pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    total, at = np.cumsum(weights), 0
+    while at < batch.num_rows:
+        before = total[at - 1] if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(total, before + size, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 256, after: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` over slices bounded in rows and bytes, which bounds what Python holds at once; ``after`` runs at a task's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                if (out := function(batch.slice(at, rows))) is not None:
-                    yield out
+        try:
+            for batch in batches:
+                for part in sliced(batch, rows):
+                    if (out := function(part)) is not None:
+                        yield out
+        finally:
+            if after is not None:
+                after()
 
     return df.mapInArrow(run, schema)
 

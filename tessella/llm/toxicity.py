@@ -1,43 +1,60 @@
 """Toxicity of documents: noisy-channel restoration of obfuscated words, then a lexical classifier.
 
-A character model is counted over all documents: trigrams of letters inside words, hashed into a table
-of fixed size, so the model that is handed to the workers has the same size for every corpus while its
-counts cover all of it. A token that looks disguised (digits or signs among letters, letters repeated,
-single letters spaced out) becomes a lattice: each character may stand for itself, for the letters it
-imitates, for nothing (separators) or for the letter before it (repetitions), each at a cost of the
-channel. Viterbi search over pairs of letters finds the likeliest words. Other tokens stand for themselves.
-
-The classifier is learned from at most ``TRAIN_DOCS`` labelled documents, the first by a hash of their id:
-it counts in how many toxic and clean documents a restored word or one of its beginnings occurs.
-A document's score joins the probabilities, cautiously estimated, of its two strongest words.
-
-Edge cases: null and empty texts score the base rate of labels, as do texts without letters; rows with one
-id are scored one by one; a null id is never held out and never learned from; without labels of both
-kinds every score is 0.
+A character model is counted over all documents: trigrams of letters inside words, exactly, so that the model grows
+with what the corpus holds. Letters without case (of scripts in which nothing is disguised this way) count as one
+letter, which bounds the trigrams by the cased alphabets. A token that looks disguised (digits or signs among
+letters, letters repeated, single letters spaced out) becomes a lattice: each character may stand for itself, for the
+letters it imitates, for nothing (separators) or for the letter before it (repetitions), each at a cost of the channel.
+Viterbi search over all pairs of last letters finds the likeliest words, whatever the token's length; the ``READINGS``
+likeliest of its ends are the token's readings. Other tokens stand for themselves.
+
+The classifier is learned from at most ``TRAIN_DOCS`` labelled documents, the first by a hash of their id, of which
+copies and near copies count once. Features are restored words and their beginnings. One is taken in when the number of
+documents that have it once, twice or four times speaks for toxicity more than chance among all features would; it
+weighs the more the further it is beyond chance, so nothing depends on an absolute count. A document's evidence is how
+far the occurrences of these features, counted over distinct words, exceed what a clean text of its length has
+(a Poisson deviance, so each further word adds to it). A logistic curve fitted to the training documents turns
+evidence into a score.
+
+Edge cases: null and empty texts, and texts without letters, have no evidence and score the curve's lowest value; rows
+with one id are scored one by one; a null id is never held out and never learned from; of copies whose labels clash
+the toxic label holds; without labels of both kinds every score is 0.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_batches, texts
+from tessella.llm.common import map_batches, sliced, texts
 
 #: Most labelled documents that the classifier learns from.
 TRAIN_DOCS = 16_000
-#: Buckets of hashed trigrams.
-BUCKETS = 1 << 16
 THRESHOLD = 0.7
-#: Toxic documents that must have a feature: at a base rate of a tenth, none of 10^6 features has them by chance alone.
-LEAST_TOXIC = 7
-MEMO_TOKENS = 400_000
+#: How often a document has a feature, at least, to count for each level.
+LEVELS = (1, 2, 4)
+#: Share of the chance level (the logarithm of the number of features) that a feature must exceed.
+CHANCE = 0.8
+#: Evidence beyond which documents are alike for the curve.
+MOST_EVIDENCE = 40.0
+#: Minwise tokens of a text's words in each of two signatures; texts that share a signature count once in training.
+SIGNATURE = 4
+READINGS = 4
+#: Characters that a task remembers readings of.
+MEMO_CHARS = 4 << 20
+#: Features that a task counts before it passes its counts on.
+MOST_COUNTED = 150_000
+#: Characters that are counted at once.
+PIECE = 1 << 20
 #: Letters that a character imitates.
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -49,65 +66,136 @@ SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 DISGUISED = re.compile(r"([^\W\d_])\1\1|[^\W\d_][^a-z]*[\W\d_]+[^a-z]*[^\W\d_]|[\d@$!|+€£(<¡][^\W\d_]|[^\W\d_][\d@$]")
 ENDS = re.compile(r"^\W+|\W+$|(?:(\W)\1+)$|^(?:(\W)\2+)")
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = range(3, 8)
+PREFIXES = range(3, 9)
 SUBSTITUTE, DROP, REPEAT, STRAY = -1.2, -0.7, -0.6, -9.0
+BLANK, CASELESS = 32, 0xFFFF
 
 
-def _bucket(a: int, b: int, c: int) -> int:
-    return (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D >> 7) % BUCKETS
+def _letters() -> np.ndarray:
+    """For each code of the basic plane: itself for lower-case letters, one code for letters without case, else a blank."""
+    out = np.full(1 << 16, BLANK, np.int64)
+    for code in range(1 << 16):
+        ch = chr(code)
+        if ch.isalpha():
+            out[code] = code if ch.upper() != ch else CASELESS
+    return out
+
+
+LETTERS = _letters()
+
+
+def packed(a: int, b: int, c: int) -> int:
+    return a << 32 | b << 16 | c
+
+
+def letter(ch: str) -> int:
+    code = ord(ch)
+    return int(LETTERS[code]) if code < 1 << 16 else CASELESS if ch.isalpha() else BLANK
 
 
-def trigram_counts(column: pa.Array) -> np.ndarray:
-    """How often each bucket occurs in the words of a column; every word lies between two blanks."""
-    code = np.frombuffer(("  " + "  ".join(texts(column)) + "  ").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    wordy = (code > 96) & ((code < 123) | (code > 191))
-    code = np.where(wordy, code, 32)
+def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of a text's words, packed, and their counts; every word lies between two blanks."""
+    code = np.frombuffer(("  " + text + "  ").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.where(code < 1 << 16, LETTERS[np.minimum(code, 0xFFFF)], CASELESS)
+    # Two blanks part words wherever one does.
+    code = np.insert(code, np.flatnonzero(code == BLANK), BLANK)
     a, b, c = code[:-2], code[1:-1], code[2:]
-    live = (c != 32) | (b != 32)
-    hashed = ((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) >> 7) % BUCKETS
-    return np.bincount(hashed[live], minlength=BUCKETS)
+    live = (c != BLANK) | (b != BLANK)
+    return np.unique((a << 32 | b << 16 | c)[live], return_counts=True)
+
+
+def pieces(column: Iterable[str]) -> Iterator[str]:
+    """Joined texts of about ``PIECE`` characters; a longer text is cut at white space, or with two characters in common."""
+    held, size = [], 0
+    for text in column:
+        at = 0
+        while len(text) - at > PIECE:
+            stop = text.rfind(" ", at, at + PIECE)
+            stop = stop if stop > at else at + PIECE
+            yield text[at:stop]
+            at = stop if text[stop] == " " else stop - 2
+        held.append(text[at:])
+        size += len(held[-1])
+        if size > PIECE:
+            yield " ".join(held)
+            held, size = [], 0
+    if held:
+        yield " ".join(held)
+
+
+def character_model(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All trigrams of all texts, packed and sorted, and their counts. Tasks send one row for each of theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            for part in sliced(batch, 1000):
+                for piece in pieces(texts(part.column(0))):
+                    new, n = trigrams(piece)
+                    keys, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
+                    counts = np.bincount(at, np.concatenate((counts, n)), len(keys)).astype(np.int64)
+        for at in range(0, len(keys), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000]), pa.array(counts[at : at + 50_000])], ["key", "n"])
+
+    found = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
+    return found["key"].to_numpy(), found["n"].to_numpy()
 
 
 class CharacterModel:
-    """Smoothed log probabilities of a letter after two others."""
+    """Smoothed log probabilities of a letter after two others, relative to the mean trigram."""
 
-    def __init__(self, counts: np.ndarray) -> None:
-        self.log = np.log((counts + 0.2) / (counts.mean() + 0.2)).tolist()
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        mean = counts.sum() / (1 << 16) if len(counts) else 0.0
+        self.log = dict(zip(keys.tolist(), np.log((counts + 0.2) / (mean + 0.2)).tolist(), strict=True))
+        self.unseen = math.log(0.2 / (mean + 0.2))
 
     def __call__(self, a: int, b: int, c: int) -> float:
-        return self.log[_bucket(a, b, c)]
+        return self.log.get(packed(a, b, c), self.unseen)
 
 
 class Restorer:
     """Finds the words that a token may stand for."""
 
-    def __init__(self, model: CharacterModel, best: int = 4) -> None:
+    def __init__(self, model: CharacterModel, best: int = READINGS) -> None:
         self.model, self.best = model, best
 
+    @staticmethod
+    def options(token: str, k: int) -> list[tuple[str, float]]:
+        """What the k-th character may stand for, and at what cost; '' is nothing."""
+        ch = token[k]
+        if ch.isalpha():
+            out = [(ch, 0.0)]
+            if k and token[k - 1] == ch:
+                out.append(("", REPEAT if k > 1 and token[k - 2] == ch else 2 * REPEAT))
+            return out
+        out = [(x, SUBSTITUTE) for x in LOOKS.get(ch, "")]
+        drop = DROP if ch in BETWEEN or ch.isspace() else STRAY if ch in LOOKS else 2 * DROP
+        if k and token[k - 1] == ch:
+            drop = max(drop, REPEAT + SUBSTITUTE)
+        return [*out, ("", drop)]
+
     def viterbi(self, token: str) -> list[str]:
-        """The likeliest readings of a lattice, best first."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(32, 32): (0.0, "")}
-        for k, ch in enumerate(token):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            options: list[tuple[str, float]] = []
-            if ch.isalpha():
-                options.append((ch, 0.0))
-                if k and token[k - 1] == ch:
-                    options.append(("", REPEAT if k > 1 and token[k - 2] == ch else 2 * REPEAT))
-            else:
-                options += [(x, SUBSTITUTE) for x in LOOKS.get(ch, "")]
-                options.append(("", DROP if ch in BETWEEN or ch.isspace() else STRAY if ch in LOOKS else 2 * DROP))
-                if k and token[k - 1] == ch:
-                    options.append(("", REPEAT + SUBSTITUTE))
-            for (a, b), (score, out) in states.items():
-                for letter, cost in options:
-                    key = (b, ord(letter)) if letter else (a, b)
-                    now = score + cost + (self.model(a, b, key[1]) if letter else 0.0)
+        """The likeliest readings of a lattice, best first: the best path to each pair of last letters is kept, none is cut."""
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(BLANK, BLANK): (0.0, None)}
+        for k in range(len(token)):
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            choices = [(x, letter(x) if x else 0, cost) for x, cost in self.options(token, k)]
+            for (a, b), (score, path) in states.items():
+                for x, code, cost in choices:
+                    key, now = ((b, code), score + cost + self.model(a, b, code)) if x else ((a, b), score + cost)
                     if (old := new.get(key)) is None or now > old[0]:
-                        new[key] = now, out + letter
-            states = new if len(new) <= 64 else dict(sorted(new.items(), key=lambda x: -x[1][0])[:64])
-        ended = sorted(((s + self.model(a, b, 32), w) for (a, b), (s, w) in states.items()), reverse=True)
-        return list(dict.fromkeys(w for _, w in ended if w))[: self.best]
+                        new[key] = now, (path, x) if x else path
+            states = new
+        ended = heapq.nsmallest(self.best + 1, ((-s - self.model(a, b, BLANK), a, b) for (a, b), (s, _) in states.items()))
+        out = []
+        for _, a, b in ended:
+            letters, path = [], states[a, b][1]
+            while path is not None:
+                path, x = path
+                letters.append(x)
+            if letters:
+                out.append("".join(reversed(letters)))
+        return list(dict.fromkeys(out))[: self.best]
 
     def words(self, token: str) -> list[str]:
         """Readings of one token between white space, in lower case."""
@@ -119,18 +207,16 @@ class Restorer:
         plain = WORD.findall(token)
         for t in {core, token.rstrip(".,;:!?\"')")}:
             if DISGUISED.search(t):
-                for at in range(0, len(t), 64):
-                    plain += self.viterbi(t[at : at + 64])
+                plain += self.viterbi(t)
         return list(dict.fromkeys(plain))
 
-    def spaced(self, text: str) -> list[str]:
-        """Readings of letters that stand one by one, from each of their first places on."""
-        out = []
+    def spaced(self, text: str) -> set[str]:
+        """Readings of letters that stand one by one: what begins at each place, as far as a beginning can tell."""
+        out: set[str] = set()
+        most = PREFIXES[-1] + 1
         for m in SPACED.finditer(text):
-            joined = re.sub(r"\s", "", m[0])
-            for at in range(0, len(joined), 64):
-                for word in self.viterbi(joined[at : at + 64]):
-                    out += [word[k:] for k in range(max(1, len(word) - 2))]
+            for word in self.viterbi(re.sub(r"\s", "", m[0])):
+                out.update(word[k : k + most] for k in range(max(1, len(word) - 2)))
         return out
 
 
@@ -139,129 +225,209 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if k <= len(word))]
 
 
-def _learned(counts: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(CharacterModel(counts))
-        seen, memo = (Counter(), Counter()), {}
-        total = [0, 0]
-        for b in batches:
-            for text, label in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True):
-                low = text.lower()
-                found: set[str] = set()
-                for t in set(low.split()):
-                    if t not in memo:
-                        memo[t] = [f for w in restorer.words(t) for f in features(w)]
-                    found.update(memo[t])
-                found.update(f for w in restorer.spaced(low) for f in features(w))
-                seen[label].update(found)
-                total[label] += 1
-                if len(memo) > MEMO_TOKENS // 4:
-                    memo.clear()
-        seen[1][""], seen[0][""] = total[1], total[0]
-        keys = list(seen[0] | seen[1])
-        for at in range(0, len(keys), 20_000):
-            part = keys[at : at + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[1][k] for k in part], pa.int64()), pa.array([seen[0][k] for k in part], pa.int64())], ["feature", "toxic", "clean"])
+class Memo(dict):
+    """What ``make`` gives for a token, remembered for ``MEMO_CHARS`` characters of tokens."""
 
-    return run
+    def __init__(self, make) -> None:
+        self.make, self.size = make, 0
+
+    def __missing__(self, token: str):
+        made = self.make(token)
+        if len(token) <= 64:
+            self.size += len(token) + 8
+            if self.size > MEMO_CHARS:
+                self.clear()
+                self.size = len(token) + 8
+            self[token] = made
+        return made
 
 
-def character_model(docs: DataFrame) -> np.ndarray:
-    """Trigram counts over all texts: each batch is summed where it lies, so the driver gets one count for each bucket."""
+def tokens(text: str, restorer: Restorer) -> tuple[set[str], set[str]]:
+    """The distinct tokens of a text in lower case, and the readings of its letters that stand one by one."""
+    low = text.lower()
+    return set(low.split()), restorer.spaced(low)
 
-    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        counts = trigram_counts(rows.column(0))
-        at = np.flatnonzero(counts)
-        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], ["bucket", "n"])
 
-    rows = map_batches(docs.select("text"), batch, "bucket int, n bigint", rows=2000).groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(BUCKETS)
-    for r in rows:
-        out[r.bucket] = r.n
-    return out
+def signatures(text: str) -> tuple[str, str]:
+    """Two independent groups of minwise tokens of a text's words: near copies share one of them at least."""
+    words = {w.encode() for w in text.lower().split()}
+    least = [min((xxhash.xxh32_intdigest(w, seed) for w in words), default=0) for seed in range(2 * SIGNATURE)]
+    return "-".join(map(str, least[:SIGNATURE])), "-".join(map(str, least[SIGNATURE:]))
+
+
+def _signed(rows: pa.RecordBatch) -> pa.RecordBatch:
+    both = [signatures(t) for t in texts(rows.column(1))]
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array([x for x, _ in both], pa.string()), pa.array([x for _, x in both], pa.string())], ["doc_id", "text", "toxic", "one", "two"])
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray, most: int = TRAIN_DOCS) -> tuple[dict[str, float], float]:
-    """(probability that a document with the feature is toxic, base rate) from labelled rows that aren't held out."""
+def training(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
+    """doc_id, text, toxic of at most ``most`` labelled documents that aren't held out, near copies once."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most TRAIN_DOCS rows of two numbers: safe to broadcast
-    # Copies would make every word of one text look significant.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").dropDuplicates(["text"])
-    learned = rows.mapInArrow(_learned(counts), "feature string, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # Of features of at most TRAIN_DOCS documents, those that speak for toxicity.
-    strong = learned.where(f"feature = '' or (toxic >= {LEAST_TOXIC} and toxic >= 4 * clean)").collect()
-    base = next(((r.toxic, r.clean) for r in strong if r.feature == ""), (0, 0))
-    rate = base[0] / sum(base) if min(base) else 0.0
-    counted = {r.feature: (r.toxic, r.clean) for r in strong if r.feature}
-    return ({f: lower_bound(a, a + b) for f, (a, b) in counted.items() if not borrowed(f, counted)} if rate else {}), rate
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    rows = map_batches(rows.select("doc_id", "text", "toxic"), _signed, "doc_id bigint, text string, toxic int, one string, two string")
+    for key in ("one", "two"):
+        rows = rows.groupBy(key).agg(F.min_by(F.struct("doc_id", "text", "one" if key == "two" else "two"), F.struct("doc_id", F.xxhash64("text"))).alias("s"), F.max("toxic").alias("toxic")).select("s.*", "toxic", key)
+    return rows.select("doc_id", "text", "toxic")
 
 
-def borrowed(feature: str, counted: dict[str, tuple[int, int]]) -> bool:
-    """Whether a beginning speaks for toxicity only because of one way of going on: without it, what is left doesn't."""
-    if not feature.endswith("*"):
-        return False
-    stem = feature[:-1]
-    longer = [v for k, v in counted.items() if k != feature and k.startswith(stem)]
-    if not longer:
-        return False
-    a, b = max(longer, key=lambda v: v[0] - v[1])
-    toxic, clean = max(0, counted[feature][0] - a), max(0, counted[feature][1] - b)
-    return toxic + clean >= 3 and toxic < 4 * clean
+def _restorer(shipped) -> Restorer:
+    return Restorer(CharacterModel(*shipped.value))
 
 
-def lower_bound(hits: int, n: int, z: float = 3.0) -> float:
-    """Wilson's lower bound of a share: what many documents agree on counts for more than a chance run of a few."""
-    p = hits / n
-    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+def _learned(shipped):
+    """feature, toxic, clean (documents at each level), toxic_words, clean_words: of the feature '', documents and distinct words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = _restorer(shipped)
+        memo = Memo(lambda t: frozenset(f for w in restorer.words(t) for f in features(w)))
+        seen: dict[str, list[int]] = {}
+        width = len(LEVELS) + 1
+
+        def flush() -> pa.RecordBatch:
+            counts = np.array(list(seen.values()), np.int64).reshape(len(seen), 2, width)
+            ends = pa.array(np.arange(len(seen) + 1, dtype=np.int32) * (width - 1))
+            sides = [pa.ListArray.from_arrays(ends, pa.array(counts[:, x, 1:].ravel())) for x in (1, 0)]
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *sides, *(pa.array(counts[:, x, 0]) for x in (1, 0))], NAMES)
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for part in sliced(batch):
+                for text, label in zip(texts(part.column(1)), part.column(2).to_pylist(), strict=True):
+                    plain, spaced = tokens(text, restorer)
+                    found = Counter()
+                    for t in plain:
+                        found.update(memo[t])
+                    for w in spaced:
+                        found.update(set(features(w)))
+                    at = label * width
+                    for f, n in [*found.items(), ("", len(plain) + len(spaced))]:
+                        counts = seen.setdefault(f, [0] * (2 * width))
+                        counts[at] += n
+                        for k, level in enumerate(LEVELS, at + 1):
+                            counts[k] += n >= level or not f
+                    if len(seen) > MOST_COUNTED:
+                        yield flush()
+        if seen:
+            yield flush()
 
-class Memo(dict):
-    def __init__(self, restorer: Restorer, model: dict[str, float]) -> None:
-        self.restorer, self.model = restorer, model
+    return run
 
-    def word(self, word: str) -> float:
-        return max([self.model.get(f, 0.0) for f in features(word)])
 
-    def __missing__(self, token: str) -> float:
-        made = max([self.word(w) for w in self.restorer.words(token)], default=0.0)
-        if len(token) <= 64:
-            if len(self) >= MEMO_TOKENS:
-                self.clear()
-            self[token] = made
-        return made
+NAMES = ["feature", "toxic", "clean", "toxic_words", "clean_words"]
+
+
+def _deviance(a: F.Column, n: float, b: F.Column, m: float) -> F.Column:
+    """How far a of n and b of m documents are from one share, where the first's is larger; 0 elsewhere."""
+    share = (a + b) / (n + m)
+    part = lambda k, of, p: F.when(k > 0, k * F.ln(k / (of * p))).otherwise(0.0)
+    return F.when(a / n > b / m, part(a, n, share) + part(n - a, n, 1 - share) + part(b, m, share) + part(m - b, m, 1 - share)).otherwise(0.0)
+
+
+class Model:
+    """Weights and clean rates of features, and the curve that turns evidence into a score."""
+
+    def __init__(self, weights: dict[str, tuple[float, float]], curve: tuple[float, float] | None = None) -> None:
+        self.weights, self.curve = weights, curve
 
+    def feature(self, words: Iterable[str]) -> str | None:
+        """The heaviest feature of any of a token's readings."""
+        return max((f for w in words for f in features(w) if f in self.weights), key=lambda f: (self.weights[f], f), default=None)
 
-def joined_score(found: list[float], base: float) -> float:
-    """The strongest word's probability, raised by a quarter of what the second adds; near the base rate if none is strong."""
-    first, second = [*sorted(found, reverse=True), 0.0, 0.0][:2]
-    return first + (1 - first) * second / 4 if first >= 0.5 else base * (0.5 + first)
+    def evidence(self, n: int, found: Counter) -> float:
+        """Of ``n`` distinct words, of which ``found`` have each feature."""
+        out = 0.0
+        for f, k in found.items():
+            weight, rate = self.weights[f]
+            if k > (usual := n * rate):
+                out += weight * (k * math.log(k / usual) - k + usual)
+        return out
+
+    def score(self, evidence: float) -> float:
+        if self.curve is None:
+            return 0.0
+        a, b = self.curve
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, a + b * evidence))))
+
+
+def _measured(shipped, model: Model, keep: list[str], column: str, name: str, finish):
+    """Rows with ``finish(evidence)`` arrays after the kept columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = _restorer(shipped)
+        memo = Memo(lambda t: model.feature(restorer.words(t)))
+        for batch in batches:
+            for rows in sliced(batch):
+                out = []
+                for text in texts(rows.column(column)):
+                    plain, spaced = tokens(text, restorer)
+                    found = Counter(f for f in map(memo.__getitem__, plain) if f)
+                    found.update(f for f in (model.feature([w]) for w in spaced) if f)
+                    out.append(model.evidence(len(plain) + len(spaced), found))
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *finish(out)], [*keep, *name.split()])
+
+    return run
+
+
+def fitted_curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Logistic intercept and slope (not negative), by Newton's method; the labels are smoothed as if one more of each kind were wrong."""
+    x, n = np.minimum(evidence, MOST_EVIDENCE), (len(toxic) - toxic.sum(), toxic.sum())
+    y = np.where(toxic == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    at = np.zeros(2)
+
+    def loss(t: np.ndarray) -> float:
+        z = t[0] + t[1] * x
+        return float((np.logaddexp(0, z) - y * z).sum() + t[1] ** 2 / 2)
+
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(at[0] + at[1] * x, -500, 500)))
+        w = p * (1 - p) + 1e-9
+        step = np.linalg.solve([[w.sum(), (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 1]], [(y - p).sum(), ((y - p) * x).sum() - at[1]])
+        size = 1.0
+        while loss(at + size * step) > loss(at) and size > 1e-6:
+            size /= 2
+        at = at + size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return float(at[0]), max(0.0, float(at[1]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, shipped) -> Model:
+    """The classifier learned from labelled documents that aren't held out; ``shipped`` broadcasts the character model."""
+    rows = training(docs, labels)
+    counts = rows.mapInArrow(_learned(shipped), "feature string, toxic array<bigint>, clean array<bigint>, toxic_words bigint, clean_words bigint")
+    sums = [F.sum(F.col(side)[k]).alias(f"{side}_{k}") for side in ("toxic", "clean") for k in range(len(LEVELS))]
+    learned = counts.groupBy("feature").agg(*sums, F.sum("toxic_words").alias("toxic_words"), F.sum("clean_words").alias("clean_words"))
+    # One pass: the number of features and the totals come with the rows that at least one toxic document has.
+    total = learned.where("feature = ''").first()
+    if total is None or not min(total.toxic_0, total.clean_0):
+        return Model({})
+    chance = CHANCE * math.log(max(3, learned.count()))
+    strength = F.greatest(*[_deviance(F.col(f"toxic_{k}"), total.toxic_0, F.col(f"clean_{k}"), total.clean_0) for k in range(len(LEVELS))])
+    frequent = F.col("toxic_words") / total.toxic_words > 2 * F.col("clean_words") / max(1, total.clean_words)
+    # Of features of at most TRAIN_DOCS documents, those that speak for toxicity.
+    strong = learned.where(F.col("feature") != "").withColumn("g", strength).where((F.col("g") > chance) & frequent).select("feature", "g", "clean_words").collect()
+    model = Model({r.feature: (1 - chance / r.g, (r.clean_words + 0.5) / (total.clean_words + 1)) for r in strong})
+    finish = lambda out: [pa.array(out, pa.float64())]
+    seen = rows.select("text", "toxic").mapInArrow(_measured(shipped, model, ["toxic"], "text", "evidence", finish), "toxic int, evidence double").collect()
+    model.curve = fitted_curve(np.array([r.evidence for r in seen]), np.array([r.toxic for r in seen]))
+    return model
 
 
 def scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of every row of ``docs``, then score and predicted."""
-    counts = character_model(docs)
-    model, base = fit(docs, labels, counts)
-    shipped = docs.sparkSession.sparkContext.broadcast((counts, model, base))
-    held: dict[str, Memo] = {}
-
-    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        counts, model, base = shipped.value
-        if "memo" not in held:
-            held["memo"] = Memo(Restorer(CharacterModel(counts)), model)
-        memo, out = held["memo"], []
-        for text in texts(rows.column("text")):
-            low = text.lower()
-            tokens = low.split()
-            found = [memo.word(w) for w in memo.restorer.spaced(low)] if SPACED.search(low) else []
-            if max(map(memo.__getitem__, tokens), default=0.0) >= 0.5:
-                found += [memo[t] for t in set(tokens)]
-            out.append(min(1.0, max(0.0, joined_score(found, base))))
-        return pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(out, pa.float64()), pa.array([int(s >= THRESHOLD) for s in out], pa.int32())], [*keep, "score", "predicted"])
+    shipped = docs.sparkSession.sparkContext.broadcast(character_model(docs))
+    model = fit(docs, labels, shipped)
+
+    def finish(out: list[float]) -> list[pa.Array]:
+        found = [model.score(x) for x in out]
+        return [pa.array(found, pa.float64()), pa.array([int(s >= THRESHOLD) for s in found], pa.int32())]
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), batch, f"{kinds}, score double, predicted int")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_measured(shipped, model, list(keep), "text", "score predicted", finish), f"{kinds}, score double, predicted int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import random
 
@@ -101,11 +102,75 @@ def test_chat_goes_through_layouts(spark: SparkSession, tmp_path: object, monkey
     assert queries.op10_chat(spark, str(tmp_path)).count() == 6 and seen
 
 
+INSULTS = ("idiot", "stupid", "trash")
+
+
+def prose(dice: random.Random, n: int) -> list[str]:
+    return ["".join(dice.choice(["an", "er", "on", "tha", "re", "ed", "be", "ing"]) for _ in range(dice.randrange(1, 4))) for _ in range(n)]
+
+
+def labelled(spark: SparkSession, n: int, extra: list[tuple]) -> tuple:
+    """Every fourth document has one or two insults among invented words."""
+    dice, rows = random.Random(3), []
+    for k in range(n):
+        words = prose(dice, dice.randrange(8, 40))
+        for _ in range(dice.randrange(1, 3) if k % 4 == 0 else 0):
+            words.insert(dice.randrange(len(words)), dice.choice(INSULTS))
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string")
+    return docs, spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(n)], "doc_id long, toxic int")
+
+
 def test_toxic_words_are_restored(spark: SparkSession) -> None:
-    docs = spark.createDataFrame([(k, f"you are an idiot and stupid trash {k}" if k % 4 == 0 else f"you are a good friend and number {k} here") for k in range(400)] + [(900, "1d10t here"), (901, "s t u p i d"), (902, "stuuupid!"), (903, "plain good friend"), (904, None), (None, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    spaced = " ".join("ban" * 40)
+    extra = [(900, "1d10t here"), (901, "s t u p i d"), (902, "stuuupid!"), (903, "plain bane thaner"), (904, None), (905, f"{spaced} s t u p i d {spaced}"), (906, "thaner bane " * 90_000 + "idiot stupid trash"), (None, "")]
+    docs, labels = labelled(spark, 400, extra)
     got = {r.doc_id: r for r in toxicity.scores(docs.withColumn("score", docs.doc_id), labels).collect()}
-    assert [got[k].predicted for k in (0, 900, 901, 902)] == [1, 1, 1, 1]
+    assert [got[k].predicted for k in (0, 900, 901, 902, 905, 906)] == [1] * 6
     assert [got[k].predicted for k in (1, 903, 904, None)] == [0, 0, 0, 0]
+    assert got[904].score == got[None].score == min(r.score for r in got.values())
     assert all(0 <= r.score <= 1 for r in got.values())
     assert {r.score for r in toxicity.scores(docs, labels.limit(0)).collect()} == {0.0}
+    assert toxicity.scores(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_copies_and_clashing_labels_fit_alike(spark: SparkSession) -> None:
+    docs, labels = labelled(spark, 200, [])
+    copies = docs.selectExpr("doc_id + 1000 as doc_id", "text")
+    more = labels.where(~toxicity.held_out()).selectExpr("doc_id + 1000 as doc_id", "0 as toxic")
+    once = {r.doc_id: r.predicted for r in toxicity.scores(docs, labels).collect()}
+    twice = toxicity.scores(docs.union(copies).union(docs), labels.union(more)).collect()
+    assert {r.doc_id: r.predicted for r in twice if r.doc_id < 1000} == once
+    assert sum(once.values()) >= 45
+
+
+def test_lattice_search_is_exact() -> None:
+    keys, counts = toxicity.trigrams("idiot stupid trash total soil illegal easel gas bag " * 9 + "lot oil zeal")
+    model, dice = toxicity.CharacterModel(keys, counts), random.Random(5)
+    restorer = toxicity.Restorer(model)
+
+    def value(path: tuple) -> float:
+        code = [toxicity.BLANK] * 2 + [toxicity.letter(x) for x, _ in path if x] + [toxicity.BLANK]
+        return sum(cost for _, cost in path) + sum(model(*code[k : k + 3]) for k in range(len(code) - 2))
+
+    for _ in range(200):
+        token = "".join(dice.choice("idotsla14$!0.-|8e") for _ in range(dice.randrange(1, 9)))
+        paths = itertools.product(*[restorer.options(token, k) for k in range(len(token))])
+        best: dict[str, float] = {}
+        for path in paths:
+            word = "".join(x for x, _ in path)
+            best[word] = max(best.get(word, -1e9), value(path))
+        best.pop("", None)
+        if best:
+            assert best[restorer.viterbi(token)[0]] == pytest.approx(max(best.values()))
+
+
+def test_trigrams_do_not_depend_on_pieces(monkeypatch: pytest.MonkeyPatch) -> None:
+    text = "Thé quick  brownfox日本 jumps" * 50 + "x" * 300
+    whole = dict(zip(*map(list, toxicity.trigrams(text)), strict=True))
+    monkeypatch.setattr(toxicity, "PIECE", 64)
+    parts: dict[int, int] = {}
+    for piece in toxicity.pieces([text]):
+        for key, n in zip(*toxicity.trigrams(piece), strict=True):
+            parts[key] = parts.get(key, 0) + n
+    assert {k for k in whole} <= set(parts)
