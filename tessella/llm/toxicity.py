@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_batches, sliced, texts
+from tessella.llm.common import fresh_path, map_batches, materialise, release, sliced, texts
 
 #: Most labelled documents that the classifier learns from.
 TRAIN_DOCS = 16_000
@@ -400,11 +400,12 @@ def fitted_curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]
 
 def fit(docs: DataFrame, labels: DataFrame, shipped) -> Model:
     """The classifier learned from labelled documents that aren't held out; ``shipped`` broadcasts the character model."""
-    rows = training(docs, labels)
+    spark = docs.sparkSession
+    rows_path, learned_path = fresh_path(spark, "training"), fresh_path(spark, "learned")
+    rows = materialise(training(docs, labels), "training", rows_path)
     counts = rows.mapInArrow(_learned(shipped), "feature string, toxic array<bigint>, clean array<bigint>, toxic_words bigint, clean_words bigint")
     sums = [F.sum(F.col(side)[k]).alias(f"{side}_{k}") for side in ("toxic", "clean") for k in range(len(LEVELS))]
-    learned = counts.groupBy("feature").agg(*sums, F.sum("toxic_words").alias("toxic_words"), F.sum("clean_words").alias("clean_words"))
-    # One pass: the number of features and the totals come with the rows that at least one toxic document has.
+    learned = materialise(counts.groupBy("feature").agg(*sums, F.sum("toxic_words").alias("toxic_words"), F.sum("clean_words").alias("clean_words")), "learned", learned_path)
     total = learned.where("feature = ''").first()
     if total is None or not min(total.toxic_0, total.clean_0):
         return Model({})
@@ -416,6 +417,7 @@ def fit(docs: DataFrame, labels: DataFrame, shipped) -> Model:
     model = Model({r.feature: (1 - chance / r.g, (r.clean_words + 0.5) / (total.clean_words + 1)) for r in strong})
     finish = lambda out: [pa.array(out, pa.float64())]
     seen = rows.select("text", "toxic").mapInArrow(_measured(shipped, model, ["toxic"], "text", "evidence", finish), "toxic int, evidence double").collect()
+    release(spark, rows_path, learned_path)
     model.curve = fitted_curve(np.array([r.evidence for r in seen]), np.array([r.toxic for r in seen]))
     return model
 
