@@ -3,21 +3,24 @@
 A document's set holds fingerprints of its word shingles. Documents with equal sets become one class.
 Each class is reduced to minwise tokens, of which two classes share a fraction close to their similarity.
 Independent trees branch on them: a node stands for a path of chosen coordinates with their tokens, and
-holds the classes that have them all. Small nodes are compared exhaustively, on a byte of each token;
-nodes of more than ``LIMIT`` classes branch again on coordinates that their path picks, and what is
-larger even at ``DEPTH`` tokens is compared block against block, in separate tasks.
+holds the classes that have them all. Nodes of at most ``LIMIT`` classes are compared exhaustively, on a byte of
+each token; larger ones branch again on coordinates that their path picks.
 
-Only components are wanted, so pairs inside one component need no comparison. Three passes over the nodes:
+Only components are wanted, so pairs inside one component need no comparison, and no list of pairs is ever made:
 
-A. In each node every class is offered the smallest id that it resembles; each class keeps one such offer.
-B. Components that meet in a node offer their most alike pair.
-C. If some pair of B wasn't confirmed though its components had others, all pairs across components that
-   agree enough are taken.
+A. In each node every class is offered the smallest id that it resembles; each class keeps one such offer, which is
+   confirmed on the full sets. A large node is dealt into parts for this, and the smallest ids of the parts'
+   components meet again in the next round.
+B. Nodes that still hold several components are compared across them. A large node of one main component and few others
+   is dealt into parts of the main one, each with all others; a large node of many components branches again, up to
+   ``DEPTH`` tokens, and what is large even then is compared block against block. Classes that have a partner
+   whose sketch is close enough are named, at most once for each node.
+C. The named classes' full sets meet in their nodes, where pairs across components are confirmed with integers, until
+   the components that a node joins are one. Only the links that join components leave a node.
 
-Pairs are confirmed on the full sets, with integers, after each pass, and components are taken again.
-
-A pair at the threshold 0.8 shares fewer than two of the ten first-level nodes with probability 4e-6, and falls
-below ``SLACK`` on 256 tokens with probability 3e-5.
+A pair is compared in the first small root node that it shares. A pair at the threshold 0.8 shares fewer than two of the
+ten root nodes with probability 4e-6, loses all paths of branching nodes with probability 1e-6, and falls below
+``SLACK`` on 256 tokens with probability 3e-5.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; a text of fewer words
 than a shingle has one shingle, all its words; equal rows fall into one class; rows with one id count as one
@@ -44,14 +47,13 @@ TOKENS, PATHS = 256, 32
 TREES = 5
 #: Coordinates that a node picks for its children.
 BRANCH = 2
-#: Classes that one task compares with each other.
-LIMIT = 20_000
+ROOTS = TREES * BRANCH
+#: Classes that one task compares with each other, and bytes of full sets.
+LIMIT, LIMIT_BYTES = 500, 32 << 20
 #: Tokens of the longest path.
-DEPTH = 5
+DEPTH = 6
 #: How far below the threshold the share of equal tokens may fall before a pair isn't confirmed.
 SLACK = 0.10
-#: Classes of a node that may become the smallest of their kind in pass A.
-LEADERS = 400
 _factors = mix64(np.arange(1, TOKENS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -97,13 +99,18 @@ def _sets(width: int):
     return batch
 
 
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)) or not len(p):
+        return False
+    at = np.searchsorted(q, p)
+    both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def _confirm(percent: int):
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        good = []
-        for x, y in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
-            p, q = np.frombuffer(x, U), np.frombuffer(y, U)
-            both = len(np.intersect1d(p, q, assume_unique=True)) if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) else 0
-            good.append(100 * both >= percent * (len(p) + len(q) - both) and both > 0)
+        good = [_similar(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), percent) for x, y in zip(rows.column(2), rows.column(3), strict=True)]
         return rows.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return batch
@@ -117,8 +124,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _child(path: F.Column, k: int) -> F.Column:
     """The coordinate that is a path's k-th choice, beyond those of the roots; the choices of one path differ."""
-    roots = TREES * BRANCH
-    return (F.pmod(F.xxhash64(path, F.lit(0)) + k, F.lit(PATHS - roots)) + roots).cast("int")
+    return (F.pmod(F.xxhash64(path, F.lit(0)) + k, F.lit(PATHS - ROOTS)) + ROOTS).cast("int")
 
 
 def branched(members: DataFrame) -> DataFrame:
@@ -133,83 +139,105 @@ def _alike(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 def leaders(ids: np.ndarray, sketches: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(class, smaller class that it resembles), each class with the smallest that isn't led itself."""
+    """(smaller class that it resembles, class), each class with the smallest that isn't led itself."""
     order = np.argsort(ids)
-    for _ in range(LEADERS):
-        if len(order) < 2:
-            return
+    while len(order) > 1:
         like = _alike(sketches[order[1:]], sketches[order[0]]) >= share
         if like.any():
-            yield ids[order[1:][like]], np.full(int(like.sum()), ids[order[0]])
+            yield np.full(int(like.sum()), ids[order[0]]), ids[order[1:][like]]
         order = order[1:][~like]
 
 
-def across(ids: np.ndarray, comps: np.ndarray, side: np.ndarray, sketches: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """Positions of pairs across components that agree enough, and their shares, in chunks; side as in ``_cells``."""
-    values, counts = np.unique(comps, return_counts=True)
-    if len(values) < 2:
-        return
-    # The largest component's classes are only compared with others, not among themselves.
-    main = values[counts.argmax()]
-    left = np.flatnonzero(comps != main) if not side.any() else np.flatnonzero(side == 1)
-    right = np.arange(len(ids)) if not side.any() else np.flatnonzero(side == 2)
-    for i in left:
-        far = right[comps[right] != comps[i]]
-        if not side.any():
-            far = far[(comps[far] == main) | (far > i)]
-        if len(far):
-            like = _alike(sketches[far], sketches[i])
-            good = like >= share
-            if good.any():
-                yield np.full(int(good.sum()), i), far[good], like[good]
-
-
-def _cells(mode: str, share: float):
-    """Runs over cells that lie sorted; a cell's rows may go on in the next batch. Rows: cell, id, comp, side, sketch.
-
-    side is 0 for all rows of a whole cell; where two blocks of a larger node meet it is 1 and 2.
-    """
+class Cell:
+    """The classes that one task compares: all with all, or two sides, or two blocks, with each other."""
 
-    def pairs(ids: np.ndarray, comps: np.ndarray, side: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        if mode == "A":
-            for x, y in leaders(ids, sketches, share):
-                yield y, x, np.zeros(len(x), bool)
-            return
-        found = across(ids, comps, side, sketches, share)
-        if mode == "C":
-            for i, j, _ in found:
-                yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.zeros(len(i), bool)
+    def __init__(self, rows: pa.Table) -> None:
+        one = {i: k for k, i in enumerate(rows["id"].to_pylist())}  # an id once
+        rows = rows.take(pa.array(list(one.values()), pa.int64())) if len(one) < len(rows) else rows
+        self.rows = rows
+        self.id, self.comp, self.side, self.block = (rows[c].to_numpy() for c in ("id", "comp", "side", "block"))
+        self.roots = np.array(rows["roots"].to_pylist(), np.int64).reshape(len(rows), ROOTS)
+        self.sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, TOKENS)
+        self.at = int(rows["at"][0].as_py())
+
+    def partners(self, share: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Positions, and those of classes in other components that agree enough with it; each pair once, and not if an earlier root has it."""
+        values, counts = np.unique(self.comp, return_counts=True)
+        if len(values) < 2:
             return
-        best: dict[tuple[int, int], tuple[float, int, int, bool]] = {}
-        for i, j, like in found:
-            order = np.argsort(-like, kind="stable")
-            heads, first, n = np.unique(comps[j[order]], return_index=True, return_counts=True)
-            for comp, at, many in zip(heads.tolist(), order[first].tolist(), n.tolist(), strict=True):
-                key = (min(comp, int(comps[i[0]])), max(comp, int(comps[i[0]])))
-                old = best.get(key)
-                if old is None or like[at] > old[0]:
-                    best[key] = float(like[at]), int(ids[i[0]]), int(ids[j[at]]), many > 1 or old is not None
-                elif not old[3]:
-                    best[key] = (*old[:3], True)
-        if best:
-            a, b = np.array([x[1] for x in best.values()]), np.array([x[2] for x in best.values()])
-            yield np.minimum(a, b), np.maximum(a, b), np.array([x[3] for x in best.values()])
+        # The largest component's classes are only compared with others, not among themselves.
+        main = self.comp == values[counts.argmax()]
+        place = np.arange(len(self.id))
+        for i in np.flatnonzero(~main):
+            good = (self.comp != self.comp[i]) & (main | (place > i))
+            if self.side[i]:
+                good &= self.side != self.side[i]
+            if self.block.any():
+                good &= self.block != self.block[i]
+            far = np.flatnonzero(good)
+            mine = self.roots[i, : self.at]
+            far = far[~((self.roots[far, : self.at] == mine) & (mine != 0)).any(axis=1)]
+            if len(far):
+                far = far[_alike(self.sketch[far], self.sketch[i]) >= share]
+            if len(far):
+                yield int(i), far
+
+
+def _offers(share: float):
+    def cell(rows: pa.Table) -> pa.RecordBatch | None:
+        ids, sketches = rows["id"].to_numpy(), np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, TOKENS)
+        found = list(leaders(ids, sketches, share))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"]) if found else None
+
+    return cell
+
+
+def _named(share: float):
+    def cell(rows: pa.Table) -> pa.RecordBatch | None:
+        met = Cell(rows)
+        hit = np.zeros(len(met.id), bool)
+        for i, far in met.partners(share):
+            hit[i] = True
+            hit[far] = True
+        return met.rows.select(["cell", "id", "comp", "side", "at"]).filter(pa.array(hit)).combine_chunks().to_batches()[0] if hit.any() else None
+
+    return cell
+
+
+def _linked(share: float, percent: int):
+    def cell(rows: pa.Table) -> pa.RecordBatch | None:
+        met, root, links = Cell(rows), {}, []
+        sets = [np.frombuffer(x.as_buffer(), U) for x in met.rows["shingles"]]
+
+        def top(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        for i, far in met.partners(share):
+            for j in far:
+                x, y = top(int(met.comp[i])), top(int(met.comp[j]))
+                if x != y and _similar(sets[i], sets[j], percent):
+                    root[max(x, y)] = min(x, y)
+                    links.append(sorted((int(met.id[i]), int(met.id[j]))))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"]) if links else None
+
+    return cell
+
+
+def by_cell(rows: DataFrame, function, schema: str) -> DataFrame:
+    """``function`` of each cell's rows, one cell at a time, wherever Arrow's batches end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            cell, ids, comps, side = (rows[c].to_numpy() for c in ("cell", "id", "comp", "side"))
-            sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, TOKENS)
+        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            cell = table["cell"].to_numpy()
             cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
-            out: list[tuple] = []
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                out += pairs(ids[x:y], comps[x:y], side[x:y], sketches[x:y])
-                if len(out) > 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "more"])
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "more"])
+                if y - x > 1 and (out := function(table.slice(x, y - x))) is not None:
+                    yield out
 
         for batch in batches:
             if not batch.num_rows:
@@ -218,19 +246,59 @@ def _cells(mode: str, share: float):
             cell = batch.column(0).to_numpy()
             if len(held) > 1 and held[-2].column(0)[-1].as_py() == cell[0] and cell[0] == cell[-1]:
                 continue
-            rows = pa.Table.from_batches(held)
-            cell = rows["cell"].to_numpy()
+            table = pa.Table.from_batches(held)
+            cell = table["cell"].to_numpy()
             other = np.flatnonzero(cell != cell[-1])
             if len(other):
-                yield from flush(rows.slice(0, int(other[-1]) + 1))
-                held = rows.slice(int(other[-1]) + 1).to_batches()
+                yield from flush(table.slice(0, int(other[-1]) + 1))
+                held = table.slice(int(other[-1]) + 1).to_batches()
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    return run
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, limit: int = LIMIT) -> DataFrame:
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema)
+
+
+def _with_components(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    if comps is None:
+        return rows.withColumn("comp", F.col("id"))
+    return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+
+
+def _across(active: DataFrame, comps: DataFrame, limit: int, depth: int) -> DataFrame:
+    """cell, id, comp, side, at: where classes of several components meet, in cells of a bounded size."""
+    rows = _with_components(active.select("id", "tokens", "nodes"), comps).select("id", "comp", "tokens", F.explode("nodes").alias("x")).select("id", "comp", "tokens", "x.*")
+    columns = ("cell", "id", "comp", "side", "at")
+    whole = lambda d, at: d.select(F.col("node").alias("cell"), "id", "comp", F.lit(0).alias("side"), at.alias("at"))
+    mixed = lambda d: d.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q").select("node", "n")
+    few = rows.where(F.col("n") <= limit).drop("n")
+    out = whole(few.join(mixed(few), "node", "left_semi"), F.col("c"))
+    big, end = rows.where(F.col("n") > limit).drop("n", "c"), F.lit(ROOTS)
+    for level in range(depth):
+        if big.isEmpty():
+            return out
+        big = materialise(big, "large")
+        sizes = big.groupBy("node", "comp").agg(F.count("*").alias("k"))
+        nodes = sizes.groupBy("node").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
+        nodes = materialise(nodes.select("node", "n", F.col("m.comp").alias("main"), (F.col("n") - F.col("m.k")).alias("others")), "nodes")
+        mine = big.join(nodes, "node")
+        out = out.unionByName(whole(mine.where(F.col("n") <= limit), end))
+        # Few others: the main component is dealt into parts, and each of them meets all others.
+        parts = F.ceil(F.col("n") / limit).cast("int")
+        dealt = mine.where((F.col("n") > limit) & (F.col("others") <= limit // 2)).withColumn("own", F.col("comp") == F.col("main"))
+        part = F.explode(F.when(F.col("own"), F.array(F.pmod(F.xxhash64("id"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1)))
+        dealt = dealt.withColumn("part", part).withColumn("side", F.when(F.col("part") == 0, 0).when(F.col("own"), 2).otherwise(1))
+        out = out.unionByName(dealt.withColumn("cell", F.xxhash64("node", "part")).withColumn("at", end).select(*columns))
+        many = mine.where((F.col("n") > limit) & (F.col("others") > limit // 2))
+        big = branched(many.select("node", "id", "comp", "tokens")) if level < depth - 1 else many
+    if big.isEmpty():
+        return out
+    blocks = F.ceil(F.col("n") / limit).cast("int")
+    mine = big.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    return out.unionByName(mine.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "id", "comp", side.alias("side"), end.alias("at")))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs(doc_id, text)``.
 
     Documents are linked when their sets of ``width``-word shingles have at least ``percent`` per cent of their
@@ -240,57 +308,51 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, limit: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     summary = materialise(map_batches(docs, _summary(width), "doc_id bigint, n_shingles bigint, set_key binary, tokens array<int>, sketch binary"), "summary")
     known = summary.where("doc_id is not null and set_key is not null")
-    classes = materialise(known.groupBy("set_key").agg(F.min_by(F.struct("tokens", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("id")).select("set_key", "id", "s.*"), "classes")
+    classes = materialise(known.groupBy("set_key").agg(F.min_by(F.struct("tokens", "sketch", "n_shingles"), "doc_id").alias("s"), F.min("doc_id").alias("id")).select("set_key", "id", "s.*"), "classes")
 
     # First level: each tree's root branches on its own coordinates. Only classes that meet others in two nodes can be linked.
-    roots = F.array(*[F.xxhash64(F.lit(c), F.col("tokens")[c]) for c in range(TREES * BRANCH)])
-    first = classes.select("id", F.explode(roots).alias("node"))
+    roots = F.array(*[F.xxhash64(F.lit(c), F.col("tokens")[c]) for c in range(ROOTS)])
+    first = classes.select("id", F.posexplode(roots).alias("c", "node"))
     sizes = first.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    met = first.join(sizes, "node").groupBy("id").agg(F.collect_list(F.struct("node", "n")).alias("nodes")).where(F.size("nodes") >= 2)
-    active = materialise(met.join(classes.select("id", "tokens", "sketch"), "id"), "active")
-    sets = materialise(map_batches(docs.select(F.col("doc_id").alias("id"), "text").join(active.select("id"), "id", "left_semi"), _sets(width), "id bigint, shingles binary"), "sets").dropDuplicates(["id"])
+    met = first.join(sizes, "node").groupBy("id").agg(F.collect_list(F.struct("c", "node", "n")).alias("nodes")).where(F.size("nodes") >= 2)
+    small = F.aggregate("nodes", F.array_repeat(F.lit(0).cast("long"), ROOTS), lambda a, x: F.when(x["n"] > limit, a).otherwise(F.transform(a, lambda v, k: F.when(k == x["c"], x["node"]).otherwise(v))))
+    active = materialise(met.join(classes.select("id", "tokens", "sketch", "n_shingles"), "id").withColumn("roots", small), "active")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(active.select("id"), "id", "left_semi")
+    sets = materialise(map_batches(texts, _sets(width), "id bigint, shingles binary").dropDuplicates(["id"]), "sets")
     release(spark)
-    large = not active.where(F.exists("nodes", lambda x: x["n"] > limit)).isEmpty()
     floor = percent / 100 - SLACK
 
-    def cells(comps: DataFrame | None, mode: str) -> DataFrame:
-        rows = active.join(comps, "id", "left") if comps is not None else active.withColumn("root", F.lit(None).cast("long"))
-        rows = rows.select("id", F.coalesce("root", "id").alias("comp"), "sketch", "tokens", F.explode("nodes").alias("x")).select("*", "x.node", "x.n").drop("x")
-        whole = lambda d: d.select(F.col("node").alias("cell"), "id", "comp", F.lit(0).alias("side"), "sketch")
-        out = whole(rows.where(F.col("n") <= limit))
-        if large:
-            big = rows.where(F.col("n") > limit)
-            if mode == "A":
-                # Any part of a large node will do for offers.
-                part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / limit))
-                out = out.unionByName(whole(big.withColumn("node", F.xxhash64("node", part))))
-            else:
-                for _ in range(DEPTH - 1):
-                    kids = branched(big.drop("n"))
-                    count = kids.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q").select("node", "n")
-                    kids = materialise(kids.join(count, "node"), "kids")
-                    out = out.unionByName(whole(kids.where(F.col("n") <= limit)))
-                    big = kids.where(F.col("n") > limit)
-                parts = F.ceil(F.col("n") / limit).cast("int")
-                mine = big.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-                pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-                side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-                out = out.unionByName(pairs.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "id", "comp", side.alias("side"), "sketch"))
-        dealt = out.repartition("cell").sortWithinPartitions("cell")
-        return dealt.mapInArrow(_cells(mode, floor if mode != "A" else percent / 100 + 0.02), "a bigint, b bigint, more boolean")
-
-    offers = cells(None, "A").groupBy("b").agg(F.min("a").alias("a"))
-    comps = materialise(components(confirmed(offers, sets, percent)), "components")
+    nodes = active.select("id", "sketch", F.explode("nodes").alias("x")).select("id", "sketch", "x.node", "x.n")
+    comps = None
+    for part in range(3):
+        rows = nodes
+        if comps is not None:  # the smallest ids of components in large nodes
+            rows = nodes.where(F.col("n") > limit).join(comps.where("id != root").select("id"), "id", "left_anti").drop("n")
+            counts = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+            if counts.isEmpty():
+                break
+            rows = rows.join(counts, "node")
+        cell = F.when(F.col("n") <= limit, F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("id", F.lit(part)), F.ceil(F.col("n") / limit))))
+        offers = by_cell(rows.select(cell.alias("cell"), "id", "sketch"), _offers(percent / 100 + 0.02), "a bigint, b bigint").groupBy("b").agg(F.min("a").alias("a"))
+        links = confirmed(offers, sets, percent)
+        comps = materialise(components(links) if comps is None else merged(comps, links), "components")
+        release(spark)
+
+    detail = active.select("id", "sketch", "roots", "n_shingles")
+    cells = _across(active, comps, limit, depth).withColumn("block", F.lit(0))
+    named = materialise(by_cell(cells.join(detail.drop("n_shingles"), "id").select("cell", "id", "comp", "side", "at", "block", "sketch", "roots"), _named(floor), "cell bigint, id bigint, comp bigint, side int, at int"), "named")
     release(spark)
-    tested = materialise(cells(comps, "B").groupBy("a", "b").agg(F.max("more").alias("more")), "tested")
-    if not tested.isEmpty():
-        new = confirmed(tested, sets, percent)
-        comps = materialise(merged(comps, new), "components")
+    if not named.isEmpty():
+        # Cells whose full sets are too large for a task are dealt into blocks.
+        weighed = named.join(detail, "id")
+        heavy = weighed.groupBy("cell").agg(F.ceil(F.sum("n_shingles") * 8 / LIMIT_BYTES).cast("int").alias("blocks"))
+        mine = weighed.join(heavy, "cell").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        block = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+        cell = F.when(F.col("blocks") == 1, F.col("cell")).otherwise(F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other")))
+        dealt = mine.select(cell.alias("cell"), "id", "comp", "side", "at", block.alias("block"), "sketch", "roots").join(sets, "id").select("cell", "id", "comp", "side", "at", "block", "sketch", "roots", "shingles")
+        links = materialise(by_cell(dealt, _linked(floor, percent), "a bigint, b bigint"), "links")
+        comps = materialise(merged(comps, links), "components")
         release(spark)
-        if not tested.where("more").join(new, ["a", "b"], "left_anti").isEmpty():
-            rest = cells(comps, "C").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-            comps = materialise(merged(comps, confirmed(rest, sets, percent)), "components")
-            release(spark)
 
     grouped = classes.select("set_key", "id").join(comps, "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
     out = summary.select("doc_id", "n_shingles", "set_key").join(grouped, "set_key", "left")
