@@ -9,8 +9,9 @@ each token; larger ones branch again on coordinates that their path picks.
 Only components are wanted, so pairs inside one component need no comparison, and no list of pairs is ever made:
 
 A. In each node every class is offered the smallest id that it resembles; each class keeps one such offer, which is
-   confirmed on the full sets. A large node is dealt into parts for this, and the smallest ids of the parts'
-   components meet again in the next round.
+   confirmed on the full sets. Then, in at most ``ROUNDS`` rounds, every class of a node with several components is offered
+   the most alike class of another one, so that what belongs together has mostly met before step B. Large nodes are dealt into
+   parts for this, others each round.
 B. Nodes that still hold several components are compared across them. A large node of one main component and few others
    is dealt into parts of the main one, each with all others; a large node of many components branches again, up to
    ``DEPTH`` tokens, and what is large even then is compared block against block. Classes that have a partner
@@ -52,6 +53,8 @@ ROOTS = TREES * BRANCH
 LIMIT, LIMIT_BYTES = 500, 32 << 20
 #: Tokens of the longest path.
 DEPTH = 6
+#: Rounds in which components are offered their most alike neighbours.
+ROUNDS = 3
 #: How far below the threshold the share of equal tokens may fall before a pair isn't confirmed.
 SLACK = 0.10
 _factors = mix64(np.arange(1, TOKENS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -192,6 +195,23 @@ def _offers(share: float):
     return cell
 
 
+def _nearest(share: float):
+    def cell(rows: pa.Table) -> pa.RecordBatch | None:
+        ids, comps = rows["id"].to_numpy(), rows["comp"].to_numpy()
+        if (comps == comps[0]).all():
+            return None
+        sketches, out = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, TOKENS), []
+        for i in range(len(ids)):
+            far = np.flatnonzero(comps != comps[i])
+            like = _alike(sketches[far], sketches[i])
+            best = int(like.argmax())
+            if like[best] >= share:
+                out.append((int(ids[far[best]]), int(ids[i]), float(like[best])))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["a", "b", "like"]) if out else None
+
+    return cell
+
+
 def _named(share: float):
     def cell(rows: pa.Table) -> pa.RecordBatch | None:
         met = Cell(rows)
@@ -258,9 +278,7 @@ def by_cell(rows: DataFrame, function, schema: str) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, schema)
 
 
-def _with_components(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
-    if comps is None:
-        return rows.withColumn("comp", F.col("id"))
+def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
 
 
@@ -320,24 +338,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, limit: i
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(active.select("id"), "id", "left_semi")
     sets = materialise(map_batches(texts, _sets(width), "id bigint, shingles binary").dropDuplicates(["id"]), "sets")
     release(spark)
-    floor = percent / 100 - SLACK
-
     nodes = active.select("id", "sketch", F.explode("nodes").alias("x")).select("id", "sketch", "x.node", "x.n")
-    comps = None
-    for part in range(3):
-        rows = nodes
-        if comps is not None:  # the smallest ids of components in large nodes
-            rows = nodes.where(F.col("n") > limit).join(comps.where("id != root").select("id"), "id", "left_anti").drop("n")
-            counts = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-            if counts.isEmpty():
-                break
-            rows = rows.join(counts, "node")
-        cell = F.when(F.col("n") <= limit, F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("id", F.lit(part)), F.ceil(F.col("n") / limit))))
-        offers = by_cell(rows.select(cell.alias("cell"), "id", "sketch"), _offers(percent / 100 + 0.02), "a bigint, b bigint").groupBy("b").agg(F.min("a").alias("a"))
-        links = confirmed(offers, sets, percent)
-        comps = materialise(components(links) if comps is None else merged(comps, links), "components")
+    cell = lambda salt: F.when(F.col("n") <= limit, F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("id", F.lit(salt)), F.ceil(F.col("n") / limit)))).alias("cell")
+    offers = by_cell(nodes.select(cell(0), "id", "sketch"), _offers(percent / 100 + 0.02), "a bigint, b bigint").groupBy("b").agg(F.min("a").alias("a"))
+    comps = materialise(components(confirmed(offers, sets, percent)), "components")
+    release(spark)
+    for salt in range(1, ROUNDS + 1):
+        rows = _with_components(nodes, comps)
+        mixed = rows.groupBy("node").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q").select("node")
+        found = by_cell(rows.join(mixed, "node", "left_semi").select(cell(salt), "id", "comp", "sketch"), _nearest(percent / 100 - 0.02), "a bigint, b bigint, like double")
+        links = confirmed(found.groupBy("b").agg(F.max_by("a", F.struct("like", -F.col("a"))).alias("a")), sets, percent)
+        if links.isEmpty():
+            break
+        comps = materialise(merged(comps, links), "components")
         release(spark)
 
+    floor = percent / 100 - SLACK
     detail = active.select("id", "sketch", "roots", "n_shingles")
     cells = _across(active, comps, limit, depth).withColumn("block", F.lit(0))
     named = materialise(by_cell(cells.join(detail.drop("n_shingles"), "id").select("cell", "id", "comp", "side", "at", "block", "sketch", "roots"), _named(floor), "cell bigint, id bigint, comp bigint, side int, at int"), "named")
