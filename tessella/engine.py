@@ -14,12 +14,12 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.errors import DuplicateError, ExecutionError, ParseError, SemanticError
+from tessella.errors import DuplicateError, EngineError, ExecutionError, ParseError, SemanticError
 from tessella.operators.fixpoint import fixpoint, shared_folder
 from tessella.sources.csv import read_csv, write_csv
 from tessella.sql.translate import Translator, strip_comments, tokenize, translate
@@ -61,6 +61,7 @@ class Engine:
         self.indexes: dict[str, tuple[str, tuple[str, ...], bool]] = {}
         self.saved: dict[str, Table] | None = None
         self.stats: dict[str, DataFrame] = {}
+        self.types: dict[tuple[str, str, str], str | None] = {}
 
     @property
     def folder(self) -> str:
@@ -103,9 +104,16 @@ class Engine:
         rows = [(t, f.name, sql_name(f.dataType), f.nullable, k) for t in sorted(self.tables) for k, f in enumerate(self.tables[t].schema, 1)]
         return self.spark.createDataFrame(rows, "table_name string, column_name string, data_type string, nullable boolean, ordinal_position int")
 
-    def _column_type(self, name: str) -> str | None:
-        kinds = {f.dataType.simpleString() for t in self.tables.values() for f in t.schema if f.name.lower() == name.lower()}
-        return kinds.pop() if len(kinds) == 1 else None
+    def _expression_type(self, expression: str, ctes: str, from_text: str) -> str | None:
+        """The type of translated text over a translated FROM clause; None if it can't be told there."""
+        key = (expression, ctes, from_text)
+        if key not in self.types:
+            try:
+                found = self._run(f"{f'WITH {ctes} ' if ctes else ''}SELECT {expression} {from_text}").schema
+                self.types[key] = found[0].dataType.simpleString() if len(found) == 1 else None
+            except (EngineError, PySparkException):
+                self.types[key] = None
+        return self.types[key]
 
     def _swap(self, name: str, df: DataFrame) -> None:
         """Write a new version of a table and let the name stand for it."""
@@ -138,15 +146,16 @@ class Engine:
         """The DataFrame of a query."""
         if (found := self._recursive_union(sql)) is not None:
             return found
-        return self._run(translate(sql, self._column_type))
+        self.types.clear()
+        return self._run(translate(sql, self._expression_type))
 
     def _run(self, spark_sql: str) -> DataFrame:
-        names = {m.lower() for m in re.findall(r"[A-Za-z_]\w*", spark_sql)}
-        for name in names & set(self.tables):
-            self.tables[name].df.createOrReplaceTempView(name)
-        for name in names & set(SYSTEM):
-            self._system(name).createOrReplaceTempView(name)
+        # Views live for the analysis only: what is dropped, rolled back or another engine's isn't found later.
+        words = {m.lower() for m in re.findall(r"[A-Za-z_]\w*", spark_sql)}
+        views = {n: self.tables[n].df for n in words & set(self.tables)} | {n: self._system(n) for n in words & set(SYSTEM)}
         try:
+            for name, df in views.items():
+                df.createOrReplaceTempView(name)
             return self.spark.sql(spark_sql)
         except AnalysisException as e:
             raise SemanticError(str(e).split("\n")[0]) from e
@@ -154,6 +163,9 @@ class Engine:
             if type(e).__name__ == "ParseException":
                 raise ParseError(str(e).split("\n")[0]) from e
             raise
+        finally:
+            for name in views:
+                self.spark.catalog.dropTempView(name)
 
     def _recursive_union(self, sql: str) -> DataFrame | None:
         """``WITH RECURSIVE x AS (base UNION step) query``: Spark recurses over UNION ALL only."""
@@ -299,7 +311,7 @@ class Engine:
         columns = [c.strip().lower() for c in m[2].split(",")] if m[2] else [f.name for f in self._writable(m[1]).schema]
         if m[3][:6].upper() != "VALUES":
             return self._insert(m[1], self.query(m[3]), columns)
-        t = Translator(m[3][6:], self._column_type)
+        t = Translator(m[3][6:], self._expression_type)
         rows: list[list[str]] = []
         while True:
             t.take("(")
@@ -319,7 +331,8 @@ class Engine:
     def _do_update(self, sql: str) -> Result:
         m = self._match(r"UPDATE\s+(\w+)\s+SET\s+(.*)", sql)
         table = self._writable(m[1])
-        t, sets = Translator(m[2], self._column_type), {}
+        self.types.clear()
+        t, sets = Translator(m[2], self._expression_type, f"FROM {m[1].lower()}"), {}
         while True:
             column = t.take().strip('"').lower()
             if column not in {f.name for f in table.schema}:
@@ -343,7 +356,8 @@ class Engine:
     def _do_delete(self, sql: str) -> Result:
         m = self._match(r"DELETE\s+FROM\s+(\w+)(?:\s+WHERE\s+(.*))?", sql)
         self._writable(m[1])
-        hit = f"coalesce(({Translator(m[2], self._column_type).expr().text}), false)" if m[2] else "true"
+        self.types.clear()
+        hit = f"coalesce(({Translator(m[2], self._expression_type, f'FROM {m[1].lower()}').expr().text}), false)" if m[2] else "true"
         n = self._run(f"SELECT count(*) FROM {m[1].lower()} WHERE {hit}").first()[0]
         if n:
             self._swap(m[1], self._run(f"SELECT * FROM {m[1].lower()} WHERE NOT {hit}"))

@@ -164,7 +164,7 @@ FUNCTIONS: dict[str, Callable[[Args], str]] = {
     "EXTRACT": part,
     "EPOCH": lambda a: f"(CASE typeof({a[0]}) WHEN 'date' THEN CAST(unix_date(CAST({a[0]} AS DATE)) AS BIGINT) ELSE unix_micros(CAST({a[0]} AS TIMESTAMP)) END)",
     "DATE_DIFF": lambda a: f"datediff({a[0]}, {a[1]})",
-    "DATE_TRUNC": lambda a: f"CAST(date_trunc({a[0]}, {a[1]}) AS TIMESTAMP_NTZ)",
+    "DATE_TRUNC": lambda a: f"CAST(date_trunc({a[0]}, {a[1]}) AS TIMESTAMP_NTZ)",  # of a DATE: see the translator
     "DATE_FORMAT": date_format,
     "TO_DATE": lambda a: to_date(a[0]),
     "TO_TIMESTAMP": lambda a: f"CAST(try_to_timestamp(CAST({a[0]} AS STRING)) AS TIMESTAMP_NTZ)",
@@ -196,7 +196,7 @@ FUNCTIONS: dict[str, Callable[[Args], str]] = {
     "MODE": sorted_mode,
     "APPROX_COUNT_DISTINCT": lambda a: f"approx_count_distinct({a[0]}, 0.023)",
     "APPROX_PERCENTILE": lambda a: f"percentile_approx({a[0]}, {a[1] if len(a) > 1 else 0.5}, 10000)",
-    "APPROX_TOP_K": lambda a: f"transform(approx_top_k({a[0]}, {a[1] if len(a) > 1 else 10}) , x -> x.item)",
+    "APPROX_TOP_K": lambda a: f"transform(approx_top_k({a[0]}, {a[1] if len(a) > 1 else 10}) FILTER (WHERE {a[0]} IS NOT NULL), x -> x.item)",
     "ARRAY_AGG": lambda a: f"nullif(collect_list({a[0]}), array())",
     "STRING_AGG": lambda a: f"listagg(CAST({a[0]} AS STRING), {a[1] if len(a) > 1 else repr(',')})",
     "GROUPING": lambda a: "0",

@@ -39,6 +39,7 @@ program("txn_commit", [*NATIONS, "BEGIN", "DELETE FROM t WHERE k < 10", "COMMIT"
 program("alter_add_drop_rename", [*NATIONS, "ALTER TABLE t ADD COLUMN extra DOUBLE", "ALTER TABLE t RENAME COLUMN name TO label", "ALTER TABLE t DROP COLUMN r", "SELECT k, label, extra FROM t"], f"SELECT k, name AS label, CAST(NULL AS DOUBLE) AS extra FROM ({BASE})")
 program("index_vacuum", [*NATIONS, "CREATE UNIQUE INDEX i ON t (k)", "VACUUM t", "SELECT name FROM t WHERE k = 7"], f"SELECT name FROM ({BASE}) WHERE k = 7")
 program("system_tables", [*NATIONS, "SELECT table_name, column_name, data_type, nullable, ordinal_position FROM sys_columns WHERE table_name = 't'"], "SELECT * FROM (VALUES ('t', 'k', 'INT', false, 1), ('t', 'name', 'VARCHAR', true, 2), ('t', 'r', 'INT', true, 3)) t(table_name, column_name, data_type, nullable, ordinal_position)")
+program("drop_recreate", [*NATIONS, "SELECT k FROM t", "DROP TABLE t", "CREATE TABLE t (z INT)", "INSERT INTO t VALUES (7)", "SELECT z / 2 AS v FROM t"], "SELECT 3 AS v")
 program("explain_rows", ["EXPLAIN SELECT n_name FROM nation WHERE n_nationkey > 3"], None)
 program("analyze_stats", [*NATIONS, "ANALYZE t"], None)
 

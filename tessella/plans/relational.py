@@ -134,3 +134,18 @@ q("tf_series_join", "SELECT g, count(n_name) AS n FROM generate_series(0, 6) AS
 q("tf_explode", "SELECT p_partkey, explode(split(p_name, ' ')) AS w FROM part", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part")
 q("tf_posexplode", "SELECT p_partkey, posexplode(split(p_name, ' ')) AS (pos, w) FROM part", "SELECT p_partkey, CAST(unnest(range(len(string_split(p_name, ' ')))) AS INT) AS pos, unnest(string_split(p_name, ' ')) AS w FROM part")
 q("tf_unnest_split", "SELECT w, count(*) AS n FROM (SELECT unnest(split(p_name, ' ')) AS w FROM part) t GROUP BY w", "SELECT w, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY w")
+
+# types of derived columns
+q("div_derived", "SELECT x / 2 AS v, x % 4 AS m FROM (SELECT n_nationkey AS x FROM nation) t", "SELECT x // 2 AS v, x % 4 AS m FROM (SELECT n_nationkey AS x FROM nation) t")
+q("div_cte", "WITH t (n) AS (SELECT l_linenumber FROM lineitem), u AS (SELECT n + 1 AS k FROM t) SELECT k / 2 AS v, count(*) AS c FROM u GROUP BY k / 2",
+  "SELECT (l_linenumber + 1) // 2 AS v, count(*) AS c FROM lineitem GROUP BY 1")
+q("div_scalar_subquery", "SELECT (SELECT 7) / 2 AS v, (SELECT max(n_nationkey) FROM nation) / 2 AS w", "SELECT 7 // 2 AS v, (SELECT max(n_nationkey) FROM nation) // 2 AS w")
+q("div_ambiguous", "SELECT a.k / 2 AS v, b.k / 2 AS w FROM (SELECT n_nationkey AS k FROM nation) a JOIN (SELECT r_regionkey + 0.5 AS k, r_regionkey AS r FROM region) b ON a.k = b.r",
+  "SELECT r_regionkey // 2 AS v, (r_regionkey + CAST(0.5 AS DOUBLE)) / 2 AS w FROM region")
+q("div_correlated", "SELECT n_name FROM nation n WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey = n.n_nationkey / 6)", "SELECT n_name FROM nation WHERE n_nationkey // 6 IN (SELECT r_regionkey FROM region)")
+q("bool_derived", "SELECT b + 1 AS v FROM (SELECT n_nationkey > 3 AS b FROM nation) t", "SELECT CAST(n_nationkey > 3 AS INT) + 1 AS v FROM nation")
+q("rcte_deep", "WITH RECURSIVE c (n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM c WHERE n < 900), d AS (SELECT n / 2 AS h FROM c) SELECT h, count(*) AS k FROM d GROUP BY h",
+  "SELECT CAST(n // 2 AS INT) AS h, count(*) AS k FROM (SELECT unnest(generate_series(1, 900)) AS n) GROUP BY 1")
+q("win_percentile_cont", "SELECT n_nationkey, percentile_cont(n_nationkey, 0.9) OVER (ORDER BY n_nationkey) AS v FROM nation", "SELECT n_nationkey, quantile_cont(CAST(n_nationkey AS DOUBLE), 0.9) OVER (ORDER BY n_nationkey ROWS UNBOUNDED PRECEDING) AS v FROM nation")
+q("agg_approx_top_k_nulls", "SELECT array_join(approx_top_k(nullif(n_regionkey % 2, 1), 2), ',') AS v FROM nation", "SELECT '0' AS v")
+q("date_trunc_of_date", "SELECT date_trunc('MONTH', CAST(o_orderdate AS DATE)) AS v, count(*) AS n FROM orders GROUP BY 1", "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS v, count(*) AS n FROM orders GROUP BY 1")

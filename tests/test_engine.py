@@ -144,3 +144,34 @@ def test_tools(engine: Engine) -> None:
     assert ["users", False] in rows(engine, "SELECT table_name, is_system FROM sys_tables")
     with pytest.raises(SemanticError):
         engine.execute("DELETE FROM sys_tables")
+
+
+def test_derived_types_do_not_depend_on_other_tables(spark: SparkSession) -> None:
+    engine = Engine(spark)
+    engine.execute("CREATE TABLE a1 (k INT, b BOOLEAN)")
+    engine.execute("INSERT INTO a1 VALUES (7, TRUE)")
+    engine.execute("CREATE TABLE a2 (k DOUBLE)")
+    one = lambda sql: engine.execute(sql).rows()[0]
+    assert one("SELECT k / 2, b + 1 FROM a1") == [3, 2]
+    assert one("SELECT x.k / 2, x.c + 1 FROM (SELECT k, b AS c FROM a1) x") == [3, 2]
+    assert one("WITH t AS (SELECT k AS n FROM a1) SELECT n / 2, (SELECT max(n) FROM t) / 2 FROM t") == [3, 3]
+    assert one("SELECT (SELECT 7) / 2") == [3]
+    assert one("SELECT n / 2 FROM generate_series(7, 7) AS n") == [3]
+
+
+def test_dropped_and_rolled_back_tables_are_gone(spark: SparkSession) -> None:
+    engine, other = Engine(spark), Engine(spark)
+    engine.execute("CREATE TABLE gone (k INT)")
+    engine.execute("INSERT INTO gone VALUES (1)")
+    assert engine.execute("SELECT k FROM gone").rows() == [[1]]
+    with pytest.raises(SemanticError):
+        other.execute("SELECT k FROM gone")
+    engine.execute("DROP TABLE gone")
+    with pytest.raises(SemanticError):
+        engine.execute("SELECT k FROM gone")
+    engine.execute("BEGIN")
+    engine.execute("CREATE TABLE later (k INT)")
+    engine.execute("SELECT k FROM later")
+    engine.execute("ROLLBACK")
+    with pytest.raises(SemanticError):
+        engine.execute("SELECT k FROM later")
