@@ -1,19 +1,20 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph built in Spark rounds, searched greedily.
 
-Equal vectors become one class, so that thousands of copies are one node; a class keeps its ``top + 1`` smallest
-ids, all that an answer can need. Every class starts with the best of a few random blocks. In each round the
-neighbours of a class, and a bounded random choice of the classes it is a neighbour of, meet: each pair of
-them is measured, and each keeps its ``degree`` best. Neighbours of neighbours thus become neighbours.
+Vectors of one direction (equal to nine decimals once normalised) become one class, so that thousands of copies, scaled or
+not, are one node; a class keeps its ``top + 1`` smallest ids, all that an answer can need, and they are scored one by one. Every
+class starts with the best of a few random blocks. In each round the neighbours of a class, and a bounded random choice
+of the classes it is a neighbour of, meet, and pairs of which one came in with the last round are measured; each keeps its
+``degree`` best. Neighbours of neighbours thus become neighbours. Rounds end when few neighbours are new.
 
 A query starts from the neighbours of its own vector, or from spread entry points if it isn't a row of the
 index, and in each round expands the best classes that it hasn't yet, keeping the ``beam`` best it has met.
 
-The graph and the search measure in single precision; scores are computed from the original vectors in double.
-The choice of reverse neighbours is what NN-descent itself samples; every row is indexed.
+The graph and the search measure on unit vectors with a byte for each component, which is what travels; scores are computed from
+the original vectors in double. The choice of reverse neighbours is what NN-descent itself samples; every row is indexed.
 
-Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, as queries or as
-candidates, nor do rows with a null id; vectors of another length than the first valid id's are an error;
-repeated rows (one id, one vector) count once; ties go to the smaller id; with fewer candidates than asked for, all come.
+Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, as queries or as candidates, nor
+do rows with a null id or vectors of another length than the smallest valid id's; repeated rows (one id, one vector) count
+once; ties, among them all vectors of one direction, go to the smaller id; with fewer candidates than asked for, all come.
 """
 
 from __future__ import annotations
@@ -23,36 +24,44 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_batches, materialise, release
+from tessella.llm.common import fresh_path, map_batches, materialise, release
 
 DEGREE, REVERSE = 24, 24
 BEAM, WIDTH, STEPS = 120, 16, 7
 #: What a class can gain from one meeting in a round.
 GAIN = 8
+#: Share of neighbours that must be new for another round.
+STILL = 0.01
 #: Classes of a block from which the first neighbours come, and how many blocks a class is in.
 BLOCK, DEALS = 48, 3
 
 
 def valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, vector of the rows that take part, vectors as doubles."""
-    ok = F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & ok)
+    ok = F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    found = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(ok)
+    length = found.agg(F.min_by(F.size("vector"), F.struct("id", F.size("vector"))).alias("n")).first().n
+    return found.where(F.size("vector") == (length or 0))
 
 
 def _unit(rows: pa.RecordBatch) -> pa.RecordBatch:
-    unit = []
+    codes, keys = [], []
     for v in rows.column(1).to_pylist():
         x = np.array(v, dtype=np.float64)
         x = x / np.abs(x).max()
-        unit.append((x / np.linalg.norm(x)).astype(np.float32).tobytes())
-    return pa.RecordBatch.from_arrays([rows.column(0), pa.array(unit, pa.binary()), rows.column(1)], ["id", "vec", "vector"])
+        codes.append(np.rint(x * 127).astype(np.int8).tobytes())
+        keys.append(xxhash.xxh3_128_digest((np.round(x / np.linalg.norm(x), 9) + 0.0).tobytes()))
+    return pa.RecordBatch.from_arrays([rows.column(0), pa.array(codes, pa.binary()), pa.array(keys, pa.binary()), rows.column(1)], ["id", "vec", "key", "vector"])
 
 
 def _matrix(values: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(values), np.float32).reshape(len(values), -1)
+    """Unit vectors of codes."""
+    x = np.frombuffer(b"".join(values), np.int8).reshape(len(values), -1).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _best(ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
@@ -61,16 +70,18 @@ def _best(ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
 
 
 def _pairs_within(batch: pa.RecordBatch, most: int) -> pa.RecordBatch:
-    """Of each group's members (id, vec, least): what each gains from the others: id, other, sim."""
+    """Of each group's members (id, vec, least, fresh): what each gains from the others, where one of the two is fresh: id, other, sim."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for group in batch.column(0).to_pylist():
-        unique = {m["id"]: m for m in group}
+        unique = {m["id"]: m for m in sorted(group, key=lambda m: m["fresh"])}  # fresh if so in any of its places
         ids = np.array(list(unique), dtype=np.int64)
         if len(ids) < 2:
             continue
         v = _matrix([m["vec"] for m in unique.values()])
         sims = v @ v.T
         np.fill_diagonal(sims, -2)
+        new = np.array([m["fresh"] for m in unique.values()])
+        sims[~new[:, None] & ~new] = -2  # measured before
         least = np.array([m["least"] for m in unique.values()], dtype=np.float32)
         k = min(most, len(ids) - 1)
         cols = np.argpartition(-sims, k - 1, axis=1)[:, :k]
@@ -83,39 +94,46 @@ def _pairs_within(batch: pa.RecordBatch, most: int) -> pa.RecordBatch:
 
 
 def _keep(found: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
-    """id, vec, near array<struct<sim, id>>, least: the ``degree`` best of ``found(id, other, sim)`` for each node."""
+    """id, vec, near array<struct<sim, id, fresh>>, least: the ``degree`` best of ``found(id, other, sim, fresh)`` for each node."""
     # A pair can be met in several groups, with sums that differ in the last place. A class is met in a bounded number of groups.
-    once = found.repartition("id").groupBy("id", "other").agg(F.max("sim").alias("sim"))
-    best = once.groupBy("id").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("sim", (-F.col("other")).alias("m"))))), 1, degree).alias("b"))
-    near = F.transform("b", lambda x: F.struct(x["sim"].alias("sim"), (-x["m"]).alias("id")))
-    out = nodes.join(best, "id", "left").select("id", "vec", F.coalesce(near, F.array().cast("array<struct<sim:float,id:bigint>>")).alias("near"))
+    once = found.repartition("id").groupBy("id", "other").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    best = once.groupBy("id").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("sim", (-F.col("other")).alias("m"), "fresh")))), 1, degree).alias("b"))
+    near = F.transform("b", lambda x: F.struct(x["sim"].alias("sim"), (-x["m"]).alias("id"), x["fresh"].alias("fresh")))
+    out = nodes.join(best, "id", "left").select("id", "vec", F.coalesce(near, F.array().cast("array<struct<sim:float,id:bigint,fresh:boolean>>")).alias("near"))
     return out.withColumn("least", F.when(F.size("near") >= degree, F.element_at("near", -1)["sim"]).otherwise(F.lit(-2.0).cast("float")))
 
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds: int | None = None) -> DataFrame:
-    """id, vec, near, least of ``nodes(id, vec)``: the neighbour graph after ``rounds`` rounds, by default as many as its size takes to mix."""
+    """id, vec, near, least of ``nodes(id, vec)``: the neighbour graph after at most ``rounds`` rounds, by default as many as its size takes to mix."""
     spark = nodes.sparkSession
     n = nodes.count()
     blocks = max(1, n // BLOCK)
     rounds = max(5, round(0.6 * math.log2(n + 1))) if rounds is None else rounds
-    member = F.struct("id", "vec", F.lit(-2.0).cast("float").alias("least"))
+    member = F.struct("id", "vec", F.lit(-2.0).cast("float").alias("least"), F.lit(True).alias("fresh"))
     # A block holds about BLOCK classes whatever the data: it is a hash of the id. Several ways of dealing mix the blocks.
     way = F.explode(F.array(*[F.xxhash64(F.pmod(F.xxhash64("id", F.lit(w)), F.lit(blocks)), F.lit(w)) for w in range(DEALS)])).alias("block")
     dealt = nodes.select(way, member.alias("m")).groupBy("block").agg(F.collect_list("m").alias("members")).select("members")
     first = map_batches(dealt, lambda b: _pairs_within(b, degree // 2), "id bigint, other bigint, sim float", rows=64)
-    graph = materialise(_keep(first, nodes, degree), "graph")
+    path = fresh_path(spark, "graph")
+    graph = materialise(_keep(first.withColumn("fresh", F.lit(True)), nodes, degree), "graph", path)
     for r in range(rounds):
-        edges = graph.select("id", "vec", "least", F.explode("near").alias("n")).select("id", "vec", "least", F.col("n.id").alias("other"), F.col("n.sim").alias("sim"))
+        fresh = graph.agg(F.sum(F.size(F.filter("near", lambda x: x["fresh"])))).first()[0] or 0
+        if fresh < STILL * n * degree:
+            break
+        edges = graph.select("id", "vec", "least", F.explode("near").alias("n")).select("id", "vec", "least", F.col("n.id").alias("other"), F.col("n.sim").alias("sim"), F.col("n.fresh").alias("fresh"))
         # Those whose neighbour a class is: a random few, cut before the shuffle where they lie.
         order = Window.partitionBy("other").orderBy(F.xxhash64("id", F.lit(r)), "id")
-        back = edges.withColumn("k", F.row_number().over(order)).where(F.col("k") <= reverse).select(F.col("other").alias("at"), "id", "vec", "least")
-        ahead = edges.select(F.col("id").alias("at"), F.col("other").alias("id")).join(graph.select("id", "vec", "least"), "id").select("at", "id", "vec", "least")
-        own = graph.select(F.col("id").alias("at"), "id", "vec", "least")
-        met = back.unionByName(ahead).unionByName(own).groupBy("at").agg(F.collect_list(F.struct("id", "vec", "least")).alias("members")).select("members")
-        gained = map_batches(met, lambda b: _pairs_within(b, GAIN), "id bigint, other bigint, sim float", rows=256)
-        old = edges.select("id", "other", "sim")
-        graph = materialise(_keep(gained.unionByName(old), nodes, degree), "graph")
-        release(spark)
+        links = edges.select("id", "other", "fresh").withColumn("k", F.row_number().over(order)).where(F.col("k") <= reverse)
+        met = links.select(F.col("other").alias("at"), "id", "fresh").unionByName(edges.select(F.col("id").alias("at"), F.col("other").alias("id"), "fresh")).unionByName(graph.select(F.col("id").alias("at"), "id", F.lit(False).alias("fresh")))
+        # Ids meet first: only classes that something new has reached need vectors.
+        lists = met.groupBy("at").agg(F.max("fresh").alias("any"), F.collect_list(F.struct("id", "fresh")).alias("m")).where("any").select("at", F.explode("m").alias("m")).select("at", "m.id", "m.fresh")
+        members = lists.join(graph.select("id", "vec", "least"), "id").groupBy("at").agg(F.collect_list(F.struct("id", "vec", "least", "fresh")).alias("members")).select("members")
+        gained = map_batches(members, lambda b: _pairs_within(b, GAIN), "id bigint, other bigint, sim float", rows=256).withColumn("fresh", F.lit(True))
+        old = edges.select("id", "other", "sim", F.lit(False).alias("fresh"))
+        last, path = path, fresh_path(spark, "graph")
+        graph = materialise(_keep(gained.unionByName(old), nodes, degree), "graph", path)
+        del edges, links, met, lists, members, gained, old
+        release(spark, last)
     return graph
 
 
@@ -148,7 +166,7 @@ def _expand(beam: int, width: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]
             ids = np.array([*old, *new], dtype=np.int64)
             all_sims = np.array(sims, dtype=np.float32)
             if new:
-                all_sims = np.concatenate((all_sims, _matrix(list(new.values())) @ np.frombuffer(vec, np.float32)))
+                all_sims = np.concatenate((all_sims, _matrix(list(new.values())) @ _matrix([vec])[0]))
             best = _best(ids, all_sims, beam)
             seen = {*done, *step}
             beams.append(ids[best].tolist())
@@ -177,31 +195,34 @@ def search_graph(graph: DataFrame, starts: DataFrame, beam: int = BEAM, width: i
 def nearest(rows: DataFrame, is_query: F.Column, top: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each row for which ``is_query`` (over ``id``) holds."""
     spark = rows.sparkSession
-    unit = materialise(map_batches(valid(rows, id_col, vector_col), _unit, "id bigint, vec binary, vector array<double>", rows=2000), "unit")
-    # The smallest ids of equal vectors; partitions cut them to top + 1 before the shuffle.
-    order = Window.partitionBy("vector").orderBy("id")
-    ranked = unit.dropDuplicates(["id"]).select("id", "vector").withColumn("k", F.row_number().over(order)).where(F.col("k") <= top + 1)
-    groups = materialise(ranked.groupBy("vector").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("members")), "groups")
+    unit = materialise(map_batches(valid(rows, id_col, vector_col), _unit, "id bigint, vec binary, key binary, vector array<double>", rows=2000), "unit")
+    # The smallest ids of one direction; partitions cut them to top + 1 before the shuffle.
+    order = Window.partitionBy("key").orderBy("id")
+    once = unit.select("key", "id").dropDuplicates(["id"])
+    ranked = once.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top + 1)
+    groups = materialise(ranked.groupBy("key").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")), "groups")
     nodes = materialise(unit.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "vec").dropDuplicates(["id"]), "nodes")
     graph = build_graph(nodes)
     # Queries of one class are searched once.
-    asked = unit.where(is_query).select(F.col("id").alias("query_id"), "vector").dropDuplicates(["query_id"])
-    asked = materialise(asked.join(groups.select("vector", "rep"), "vector"), "asked")
+    asked = unit.where(is_query).select(F.col("id").alias("query_id"), "key", F.col("vector").alias("mine")).dropDuplicates(["query_id"])
+    asked = materialise(asked.join(groups.select("key", "rep"), "key").drop("key"), "asked")
     beams = search_graph(graph, graph.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
     release(spark)
-    met = beams.select(F.col("q").alias("rep"), F.explode("beam").alias("other"))
-    met = met.join(groups.select(F.col("rep").alias("other"), F.col("vector").alias("theirs"), "members"), "other")
-    met = met.join(groups.select("rep", F.col("vector").alias("mine")), "rep")
+    # One query of each class ranks the classes met, on the original vectors; then their smallest members are scored for every query.
+    first = asked.groupBy("rep").agg(F.min_by("mine", "query_id").alias("mine"))
+    met = beams.select(F.col("q").alias("rep"), F.explode("beam").alias("other")).join(unit.select(F.col("id").alias("other"), F.col("vector").alias("theirs")).dropDuplicates(["other"]), "other").join(first, "rep")
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b = (np.array(batch.column(k).to_pylist(), dtype=np.float64) for k in (2, 3))
+        a, b = (x / np.abs(x).max(axis=1, keepdims=True) if len(x) else x for x in (a, b))
         exact = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))) if len(a) else np.empty(0)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(exact)], ["rep", "members", "score"])
-
-    scored = map_batches(met.select("rep", "members", "mine", "theirs"), score, "rep bigint, members array<bigint>, score double", rows=2000)
-    # As many classes as an answer can need, then their members.
-    best = scored.withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), F.col("members")[0]))).where(F.col("k") <= top + 1)
-    answers = best.groupBy("rep").agg(F.collect_list(F.struct("score", "members")).alias("found"))
-    flat = asked.select("query_id", "rep").join(answers, "rep").select("query_id", F.explode("found").alias("f")).select("query_id", F.col("f.score").alias("score"), F.explode("f.members").alias("vec_id")).where("vec_id != query_id")
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(exact)], ["x", "y", "score"])
+
+    scored = map_batches(met.select("rep", "other", "mine", "theirs"), score, "x bigint, y bigint, score double", rows=2000)
+    best = scored.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score"), "y"))).where(F.col("k") <= top + 1).select(F.col("x").alias("rep"), F.col("y").alias("other"))
+    members = best.join(groups.select(F.col("rep").alias("other"), F.explode("ids").alias("vec_id")), "other").select("rep", "vec_id")
+    # As many members of each class as an answer can need: at most (top + 1) ** 2 for a query.
+    pairs = asked.join(members, "rep").where("vec_id != query_id").join(unit.select(F.col("id").alias("vec_id"), F.col("vector").alias("theirs")).dropDuplicates(["vec_id"]), "vec_id")
+    flat = map_batches(pairs.select("query_id", "vec_id", "mine", "theirs"), score, "x bigint, y bigint, score double", rows=2000).select(F.col("x").alias("query_id"), F.col("y").alias("vec_id"), "score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return flat.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
