@@ -3,7 +3,7 @@
 Vectors of one direction (equal to nine decimals once normalised) become one class, so that thousands of copies, scaled or
 not, are one node; a class keeps its ``top + 1`` smallest ids, all that an answer can need, and they are scored one by one. Every
 class starts with the best of a few random blocks. In each round the neighbours of a class, and a bounded random choice
-of the classes it is a neighbour of, meet, and pairs of which one came in with the last round are measured; each keeps its
+of the classes it is a neighbour of, meet, and pairs of which one came in with the last two rounds are measured; each keeps its
 ``degree`` best. Neighbours of neighbours thus become neighbours. Rounds end when few neighbours are new.
 
 A query starts from the neighbours of its own vector, or from spread entry points if it isn't a row of the
@@ -31,11 +31,13 @@ from pyspark.sql import functions as F
 from tessella.llm.common import fresh_path, map_batches, materialise, release
 
 DEGREE, REVERSE = 24, 24
-BEAM, WIDTH, STEPS = 120, 16, 7
+BEAM, WIDTH, STEPS = 400, 48, 9
 #: What a class can gain from one meeting in a round.
-GAIN = 8
+GAIN = 12
+#: Rounds for which a neighbour counts as fresh: a meeting passes on GAIN pairs only, so pairs have a second chance.
+FRESH = 2
 #: Share of neighbours that must be new for another round.
-STILL = 0.01
+STILL = 0.005
 #: Classes of a block from which the first neighbours come, and how many blocks a class is in.
 BLOCK, DEALS = 48, 3
 
@@ -80,7 +82,7 @@ def _pairs_within(batch: pa.RecordBatch, most: int) -> pa.RecordBatch:
         v = _matrix([m["vec"] for m in unique.values()])
         sims = v @ v.T
         np.fill_diagonal(sims, -2)
-        new = np.array([m["fresh"] for m in unique.values()])
+        new = np.array([m["fresh"] for m in unique.values()]) > 0
         sims[~new[:, None] & ~new] = -2  # measured before
         least = np.array([m["least"] for m in unique.values()], dtype=np.float32)
         k = min(most, len(ids) - 1)
@@ -99,7 +101,7 @@ def _keep(found: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
     once = found.repartition("id").groupBy("id", "other").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
     best = once.groupBy("id").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("sim", (-F.col("other")).alias("m"), "fresh")))), 1, degree).alias("b"))
     near = F.transform("b", lambda x: F.struct(x["sim"].alias("sim"), (-x["m"]).alias("id"), x["fresh"].alias("fresh")))
-    out = nodes.join(best, "id", "left").select("id", "vec", F.coalesce(near, F.array().cast("array<struct<sim:float,id:bigint,fresh:boolean>>")).alias("near"))
+    out = nodes.join(best, "id", "left").select("id", "vec", F.coalesce(near, F.array().cast("array<struct<sim:float,id:bigint,fresh:int>>")).alias("near"))
     return out.withColumn("least", F.when(F.size("near") >= degree, F.element_at("near", -1)["sim"]).otherwise(F.lit(-2.0).cast("float")))
 
 
@@ -109,27 +111,27 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE,
     n = nodes.count()
     blocks = max(1, n // BLOCK)
     rounds = max(5, round(0.6 * math.log2(n + 1))) if rounds is None else rounds
-    member = F.struct("id", "vec", F.lit(-2.0).cast("float").alias("least"), F.lit(True).alias("fresh"))
+    member = F.struct("id", "vec", F.lit(-2.0).cast("float").alias("least"), F.lit(FRESH).alias("fresh"))
     # A block holds about BLOCK classes whatever the data: it is a hash of the id. Several ways of dealing mix the blocks.
     way = F.explode(F.array(*[F.xxhash64(F.pmod(F.xxhash64("id", F.lit(w)), F.lit(blocks)), F.lit(w)) for w in range(DEALS)])).alias("block")
     dealt = nodes.select(way, member.alias("m")).groupBy("block").agg(F.collect_list("m").alias("members")).select("members")
     first = map_batches(dealt, lambda b: _pairs_within(b, degree // 2), "id bigint, other bigint, sim float", rows=64)
     path = fresh_path(spark, "graph")
-    graph = materialise(_keep(first.withColumn("fresh", F.lit(True)), nodes, degree), "graph", path)
+    graph = materialise(_keep(first.withColumn("fresh", F.lit(FRESH)), nodes, degree), "graph", path)
     for r in range(rounds):
-        fresh = graph.agg(F.sum(F.size(F.filter("near", lambda x: x["fresh"])))).first()[0] or 0
+        fresh = graph.agg(F.sum(F.size(F.filter("near", lambda x: x["fresh"] > 0)))).first()[0] or 0
         if fresh < STILL * n * degree:
             break
         edges = graph.select("id", "vec", "least", F.explode("near").alias("n")).select("id", "vec", "least", F.col("n.id").alias("other"), F.col("n.sim").alias("sim"), F.col("n.fresh").alias("fresh"))
-        # Those whose neighbour a class is: a random few, cut before the shuffle where they lie.
-        order = Window.partitionBy("other").orderBy(F.xxhash64("id", F.lit(r)), "id")
+        # Those whose neighbour a class is: a random few, fresh ones first, cut before the shuffle where they lie.
+        order = Window.partitionBy("other").orderBy(F.desc("fresh"), F.xxhash64("id", F.lit(r)), "id")
         links = edges.select("id", "other", "fresh").withColumn("k", F.row_number().over(order)).where(F.col("k") <= reverse)
-        met = links.select(F.col("other").alias("at"), "id", "fresh").unionByName(edges.select(F.col("id").alias("at"), F.col("other").alias("id"), "fresh")).unionByName(graph.select(F.col("id").alias("at"), "id", F.lit(False).alias("fresh")))
+        met = links.select(F.col("other").alias("at"), "id", "fresh").unionByName(edges.select(F.col("id").alias("at"), F.col("other").alias("id"), "fresh")).unionByName(graph.select(F.col("id").alias("at"), "id", F.lit(0).alias("fresh")))
         # Ids meet first: only classes that something new has reached need vectors.
-        lists = met.groupBy("at").agg(F.max("fresh").alias("any"), F.collect_list(F.struct("id", "fresh")).alias("m")).where("any").select("at", F.explode("m").alias("m")).select("at", "m.id", "m.fresh")
+        lists = met.groupBy("at").agg(F.max("fresh").alias("any"), F.collect_list(F.struct("id", "fresh")).alias("m")).where("any > 0").select("at", F.explode("m").alias("m")).select("at", "m.id", "m.fresh")
         members = lists.join(graph.select("id", "vec", "least"), "id").groupBy("at").agg(F.collect_list(F.struct("id", "vec", "least", "fresh")).alias("members")).select("members")
-        gained = map_batches(members, lambda b: _pairs_within(b, GAIN), "id bigint, other bigint, sim float", rows=256).withColumn("fresh", F.lit(True))
-        old = edges.select("id", "other", "sim", F.lit(False).alias("fresh"))
+        gained = map_batches(members, lambda b: _pairs_within(b, GAIN), "id bigint, other bigint, sim float", rows=256).withColumn("fresh", F.lit(FRESH))
+        old = edges.select("id", "other", "sim", F.greatest(F.col("fresh") - 1, F.lit(0)).alias("fresh"))
         last, path = path, fresh_path(spark, "graph")
         graph = materialise(_keep(gained.unionByName(old), nodes, degree), "graph", path)
         del edges, links, met, lists, members, gained, old
