@@ -14,7 +14,7 @@ A. In each node every class is offered the smallest id that it resembles; each c
    parts for this, others each round.
 B. Nodes that still hold several components are compared across them. A large node of one main component and few others
    is dealt into parts of the main one, each with all others; a large node of many components branches again, up to
-   ``DEPTH`` tokens, and what is large even then is compared block against block. Classes that have a partner
+   ``DEPTH`` tokens, as long as that leaves less to compare; what doesn't shrink is compared block against block. Classes that have a partner
    whose sketch is close enough are named, at most once for each node.
 C. The named classes' full sets meet in their nodes, where pairs across components are confirmed with integers, until
    the components that a node joins are one. Only the links that join components leave a node.
@@ -50,11 +50,13 @@ TREES = 5
 BRANCH = 2
 ROOTS = TREES * BRANCH
 #: Classes that one task compares with each other, and bytes of full sets.
-LIMIT, LIMIT_BYTES = 500, 32 << 20
+LIMIT, LIMIT_BYTES = 1000, 32 << 20
 #: Tokens of the longest path.
 DEPTH = 6
 #: Rounds in which components are offered their most alike neighbours.
 ROUNDS = 3
+#: A node whose children would hold more than this many times its classes is compared block against block at once.
+DENSE = 1.2
 #: How far below the threshold the share of equal tokens may fall before a pair isn't confirmed.
 SLACK = 0.10
 _factors = mix64(np.arange(1, TOKENS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -290,10 +292,10 @@ def _across(active: DataFrame, comps: DataFrame, limit: int, depth: int) -> Data
     mixed = lambda d: d.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q").select("node", "n")
     few = rows.where(F.col("n") <= limit).drop("n")
     out = whole(few.join(mixed(few), "node", "left_semi"), F.col("c"))
-    big, end = rows.where(F.col("n") > limit).drop("n", "c"), F.lit(ROOTS)
+    big, end, crowded = rows.where(F.col("n") > limit).drop("n", "c"), F.lit(ROOTS), []
     for level in range(depth):
         if big.isEmpty():
-            return out
+            break
         big = materialise(big, "large")
         sizes = big.groupBy("node", "comp").agg(F.count("*").alias("k"))
         nodes = sizes.groupBy("node").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
@@ -306,14 +308,18 @@ def _across(active: DataFrame, comps: DataFrame, limit: int, depth: int) -> Data
         part = F.explode(F.when(F.col("own"), F.array(F.pmod(F.xxhash64("id"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1)))
         dealt = dealt.withColumn("part", part).withColumn("side", F.when(F.col("part") == 0, 0).when(F.col("own"), 2).otherwise(1))
         out = out.unionByName(dealt.withColumn("cell", F.xxhash64("node", "part")).withColumn("at", end).select(*columns))
-        many = mine.where((F.col("n") > limit) & (F.col("others") > limit // 2))
-        big = branched(many.select("node", "id", "comp", "tokens")) if level < depth - 1 else many
-    if big.isEmpty():
-        return out
-    blocks = F.ceil(F.col("n") / limit).cast("int")
-    mine = big.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    return out.unionByName(mine.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "id", "comp", side.alias("side"), end.alias("at")))
+        many = materialise(mine.where((F.col("n") > limit) & (F.col("others") > limit // 2)).select("node", "id", "comp", "tokens", "n"), "many")
+        kids = branched(many.drop("n").withColumn("parent", F.col("node")))
+        kept = kids.groupBy("parent", "node").agg(F.count("*").alias("k"), F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q").groupBy(F.col("parent").alias("node")).agg(F.sum("k").alias("kept"))
+        dense = materialise(many.groupBy("node").agg(F.max("n").alias("n")).join(kept, "node").where(F.lit(level == depth - 1) | (F.col("kept") > DENSE * F.col("n"))).select("node"), "dense")
+        crowded.append(many.join(dense, "node", "left_semi"))
+        big = kids.join(dense.withColumnRenamed("node", "parent"), "parent", "left_anti").drop("parent")
+    for rows in crowded:
+        blocks = F.ceil(F.col("n") / limit).cast("int")
+        mine = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+        out = out.unionByName(mine.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "id", "comp", side.alias("side"), end.alias("at")))
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
