@@ -37,6 +37,7 @@ from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,13 +179,13 @@ def write_index(captures: DataFrame, folder: str) -> list[tuple[str, int | None,
             body = zlib.compress(json.dumps(directory, ensure_ascii=False).encode())
             out.write(body + struct.pack("<QQ", place, len(body)))
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([directory[0][1]], pa.int64()), pa.array([name])], ["key", "page_id", "name"])
+            yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([directory[0][1]], pa.int64()), pa.array([name]), pa.array([TaskContext.get().partitionId()], pa.int32())], ["key", "page_id", "name", "part"])
 
     by = ("key", "page_id", "file", "place")
     spread = captures.repartitionByRange(*by).sortWithinPartitions(*by)
-    files = materialise(spread.mapInArrow(run, "key string, page_id bigint, name string"), "index")
-    # One row for each index file: as many as partitions.
-    return sorted(((r.key, r.page_id, r.name) for r in files.collect()), key=lambda f: (*_order(*f[:2]), f[2]))
+    files = materialise(spread.mapInArrow(run, "key string, page_id bigint, name string, part int"), "index")
+    # One row for each index file: as many as partitions. Files that begin with captures of one pair lie in the order of their ranges.
+    return [(r.key, r.page_id, r.name) for r in sorted(files.collect(), key=lambda r: (*_order(r.key, r.page_id), r.part))]
 
 
 class IndexReader:
