@@ -175,3 +175,15 @@ def test_dropped_and_rolled_back_tables_are_gone(spark: SparkSession) -> None:
     engine.execute("ROLLBACK")
     with pytest.raises(SemanticError):
         engine.execute("SELECT k FROM later")
+
+
+def test_similarities_compute_tokens_outside_their_loops(spark: SparkSession) -> None:
+    engine = Engine(spark)
+    # k, i and s are also names of the loops' variables: tokens that are split inside a loop would be those of its counter.
+    engine.register("t", spark.createDataFrame([(1, "a b c d", "d c b a", "x y"), (2, "p q", "P  q", "p q r"), (3, "", "", "")], "id int, k string, i string, s string"))
+    engine.register("u", spark.createDataFrame([(1, "a b c d", "d c b a", "x y"), (2, "p q", "P  q", "p q r"), (3, "", "", "")], "id int, x string, y string, z string"))
+    sql = "SELECT id, MINHASH_JACCARD({0}, {1}), MINHASH_JACCARD({0}, {2}), SIMHASH_SIMILARITY({1}, {2}), SIMHASH_SIMILARITY({0}, {1}) FROM {3} ORDER BY id"
+    got = rows(engine, sql.format("k", "i", "s", "t"))
+    assert got == rows(engine, sql.format("x", "y", "z", "u"))
+    assert [r[1] for r in got] == [1.0, 1.0, 1.0]
+    assert got[0][2] == 0.0 and 0.3 < got[1][2] < 1.0
