@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import itertools
 import os
@@ -81,6 +82,23 @@ def sliced(batch: pa.RecordBatch, rows: int = 256, size: int = BATCH_BYTES) -> I
         at = stop
 
 
+def give_back() -> None:
+    """Hand memory that is free in this worker back to the system: workers are reused, and what they keep is memory of their executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which its worker keeps no free memory."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 256, after: Callable[[], None] | None = None) -> DataFrame:
     """``mapInArrow`` over slices bounded in rows and bytes, which bounds what Python holds at once; ``after`` runs at a task's end."""
 
@@ -94,7 +112,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
             if after is not None:
                 after()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def texts(column: pa.Array) -> list[str]:

@@ -26,6 +26,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fresh_path, map_batches, materialise, release, sliced, texts
+from tessella.llm.common import fresh_path, map_batches, materialise, release, sliced, texts, tidied
 
 #: Most labelled documents that the classifier learns from.
 TRAIN_DOCS = 16_000
@@ -137,7 +138,7 @@ def character_model(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for at in range(0, len(keys), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000]), pa.array(counts[at : at + 50_000])], ["key", "n"])
 
-    found = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
+    found = docs.select("text").mapInArrow(tidied(run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
     return found["key"].to_numpy(), found["n"].to_numpy()
 
 
@@ -284,40 +285,56 @@ def _learned(shipped):
     """feature, toxic, clean (documents at each level), toxic_words, clean_words: of the feature '', documents and distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = _restorer(shipped)
-        memo = Memo(lambda t: frozenset(f for w in restorer.words(t) for f in features(w)))
-        seen: dict[str, list[int]] = {}
-        width = len(LEVELS) + 1
-
-        def flush() -> pa.RecordBatch:
-            counts = np.array(list(seen.values()), np.int64).reshape(len(seen), 2, width)
-            ends = pa.array(np.arange(len(seen) + 1, dtype=np.int32) * (width - 1))
-            sides = [pa.ListArray.from_arrays(ends, pa.array(counts[:, x, 1:].ravel())) for x in (1, 0)]
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *sides, *(pa.array(counts[:, x, 0]) for x in (1, 0))], NAMES)
-            seen.clear()
-            return out
-
+        restorer, counted = _restorer(shipped), Counted()
+        memo = Memo(lambda t: counted.numbers({f for w in restorer.words(t) for f in features(w)}))
         for batch in batches:
             for part in sliced(batch):
                 for text, label in zip(texts(part.column(1)), part.column(2).to_pylist(), strict=True):
                     plain, spaced = tokens(text, restorer)
-                    found = Counter()
-                    for t in plain:
-                        found.update(memo[t])
-                    for w in spaced:
-                        found.update(set(features(w)))
-                    at = label * width
-                    for f, n in [*found.items(), ("", len(plain) + len(spaced))]:
-                        counts = seen.setdefault(f, [0] * (2 * width))
-                        counts[at] += n
-                        for k, level in enumerate(LEVELS, at + 1):
-                            counts[k] += n >= level or not f
-                    if len(seen) > MOST_COUNTED:
-                        yield flush()
-        if seen:
-            yield flush()
-
-    return run
+                    found = [*map(memo.__getitem__, plain), *(counted.numbers(set(features(w))) for w in spaced)]
+                    counted.add(b"".join(found), len(found), label)
+                    if len(counted.number) > MOST_COUNTED:
+                        yield from counted.rows()
+                        memo.clear()  # its numbers are void
+                        memo.size, counted = 0, Counted()
+        yield from counted.rows()
+
+    return tidied(run)
+
+
+class Counted:
+    """Counts of features over documents. Features go by number, so that what a token has is a few bytes."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.counts = np.zeros((1 << 12, 2, len(LEVELS) + 1), np.int64)
+        self.any = False
+
+    def numbers(self, names: set[str]) -> bytes:
+        number = self.number
+        return array("i", [number.setdefault(f, len(number)) for f in names]).tobytes()
+
+    def add(self, found: bytes, words: int, label: int) -> None:
+        """A document of so many distinct words, with the numbers of each one's features end to end."""
+        if len(self.number) > len(self.counts):
+            more = np.zeros((2 * len(self.number), *self.counts.shape[1:]), np.int64)
+            more[: len(self.counts)] = self.counts
+            self.counts = more
+        of, n = np.unique(np.frombuffer(found, np.int32), return_counts=True)
+        self.counts[of, label, 0] += n
+        for k, level in enumerate(LEVELS, 1):
+            self.counts[of, label, k] += n >= level
+        self.counts[0, label] += [words] + [1] * len(LEVELS)
+        self.any = True
+
+    def rows(self, most: int = 50_000) -> Iterator[pa.RecordBatch]:
+        names = list(self.number) if self.any else []
+        for at in range(0, len(names), most):
+            part = names[at : at + most]
+            counts = self.counts[at : at + len(part)]
+            ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * len(LEVELS))
+            sides = [pa.ListArray.from_arrays(ends, pa.array(counts[:, x, 1:].ravel())) for x in (1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *sides, *(pa.array(counts[:, x, 0]) for x in (1, 0))], NAMES)
 
 
 NAMES = ["feature", "toxic", "clean", "toxic_words", "clean_words"]
@@ -372,7 +389,7 @@ def _measured(shipped, model: Model, keep: list[str], column: str, name: str, fi
                     out.append(model.evidence(len(plain) + len(spaced), found))
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *finish(out)], [*keep, *name.split()])
 
-    return run
+    return tidied(run)
 
 
 def fitted_curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:

@@ -6,8 +6,13 @@ import hashlib
 import itertools
 import json
 import random
+import sys
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
@@ -144,6 +149,34 @@ def test_toxicity_copies_and_clashing_labels_fit_alike(spark: SparkSession) -> N
     assert sum(once.values()) >= 45
 
 
+def test_learning_holds_no_more_than_it_counts_at_once(monkeypatch: pytest.MonkeyPatch) -> None:
+    dice = random.Random(7)
+    words = ["".join(dice.choice("aeinrst") for _ in range(12)) for _ in range(12_000)]
+    rows = [(k, " ".join(words[k * 40 : k * 40 + 60]) + " 1d10t s t u p i d", k % 2) for k in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["doc_id", "text", "toxic"])
+    run = toxicity._learned(SimpleNamespace(value=toxicity.trigrams("idiot stupid retain " * 9)))
+
+    def sums() -> tuple[dict[str, np.ndarray], int]:
+        out: dict[str, np.ndarray] = {}
+        tracemalloc.start()
+        most = 0
+        for part in run(iter([batch])):
+            most = max(most, tracemalloc.get_traced_memory()[1])
+            for f, *x in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                out[f] = out.get(f, 0) + np.hstack(x)
+            tracemalloc.reset_peak()
+        tracemalloc.stop()
+        return out, most - sum(sys.getsizeof(x) + sys.getsizeof(k) for k, x in out.items()) - sys.getsizeof(out)
+
+    whole, _ = sums()
+    assert whole[""].tolist()[:6] == [150] * 6
+    assert whole["idiot"].tolist()[:6] == [150, 0, 0] * 2
+    monkeypatch.setattr(toxicity, "MOST_COUNTED", 2000)
+    parts, held = sums()
+    assert parts.keys() == whole.keys() and all((parts[f] == n).all() for f, n in whole.items())
+    assert held < 6 << 20
+
+
 def test_lattice_search_is_exact() -> None:
     keys, counts = toxicity.trigrams("idiot stupid trash total soil illegal easel gas bag " * 9 + "lot oil zeal")
     model, dice = toxicity.CharacterModel(keys, counts), random.Random(5)
