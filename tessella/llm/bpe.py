@@ -1,14 +1,15 @@
 """Byte-pair encoding by backtracking over longest matches, and decoding by an offset table.
 
-The encoder never replays merges. An Aho-Corasick automaton over the vocabulary gives the
-longest token that starts at each place of a word; a left-to-right walk takes it and steps to the
-token's next shorter prefix, or back to the place before, when the pair (previous token, token)
-could not stand side by side in a merged word. Whether it can is looked up in the table of merges:
+The encoder never replays merges. An Aho-Corasick automaton over the vocabulary gives a word's
+longest tokens one after another, and the longest token from any other place when the walk comes
+there; a left-to-right walk takes it and steps to the token's next shorter prefix, or back to the
+place before, when the pair (previous token, token) could not stand side by side in a merged word. Whether it can is looked up in the table of merges:
 two tokens are compatible if undoing them towards their common border, latest merge first, never
 meets a merge that would have joined them earlier. That gives exactly the merges of BPE in time
 linear in the word, as each place is given up at most once.
 
-Words recur, so each task keeps a bounded memo from word to its tokens, and drops it at its end.
+Words recur, with and without punctuation about them, so each task keeps bounded memos from stretch and word to
+its tokens in decimal, and drops them at its end.
 
 Edge cases: a null text counts as empty and has no tokens; strings of special tokens inside a
 text become those tokens, as in the tokenizers library; equal rows give equal results; other
@@ -21,8 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
-from array import array
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -36,11 +37,13 @@ from pyspark.sql import DataFrame
 from tessella.llm.common import map_batches, texts
 
 #: Entries of a generation of a worker's memos: stretches between white space, words, pairs of tokens.
-MEMO_STRETCHES, MEMO_WORDS, MEMO_PAIRS = 60_000, 40_000, 60_000
+MEMO_STRETCHES, MEMO_WORDS, MEMO_PAIRS = 150_000, 150_000, 100_000
 #: Longer words aren't kept.
 MEMO_LENGTH = 64
 END = "</w>"
 SEPARATORS = regex.compile("[\x1c-\x1f]")
+#: Lower-case letters that every Unicode table has: a stretch of them is one word.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -110,12 +113,13 @@ class WordBpe:
 
     def _index(self) -> None:
         self.memo = Memo(self._stretch, MEMO_STRETCHES)
-        self.memo_words = Memo(self.encode_word, MEMO_WORDS)
+        self.memo_words = Memo(self._word, MEMO_WORDS)
         self.memo_pairs = Memo(lambda pair: self.compatible(*divmod(pair, len(self.tokens))), MEMO_PAIRS)
         letters = byte_letters()
         self.atom = {letters[b]: chr(b) for b in range(256)}
         self.words = regex.compile(self.pattern, regex.V0)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
+        self.decimal = [str(i) for i in range(len(self.tokens))]
         reserved = set(self.specials.values())
         self.automaton = ahocorasick.Automaton()
         self.length, self.shorter = [0] * len(self.tokens), [-1] * len(self.tokens)
@@ -161,17 +165,20 @@ class WordBpe:
         raw = word.encode()
         spelled = raw[:-1].decode("latin-1") + chr(256 + raw[-1])
         n, lengths, shorter, pairs, size = len(spelled), self.length, self.shorter, self.memo_pairs, len(self.tokens)
-        best = [-1] * n
-        for end, token in self.automaton.iter(spelled):
-            best[end - lengths[token] + 1] = token  # later matches from one place are longer
-        open_end, out, at, last, token = bytearray(b"\x01" * (n + 1)), [], 0, -1, best[0]
+        best = [-2] * (n + 1)  # not looked up
+        best[n] = -1
+        for end, token in self.automaton.iter_long(spelled):
+            best[end - lengths[token] + 1] = token
+        open_end, out, at, last, token = bytearray(b"\x01" * (n + 1)), [], 0, -1, self._longest(spelled, 0, best)
         while at < n:
             while token >= 0 and not (open_end[at + lengths[token]] and (last < 0 or pairs[last * size + token])):
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += lengths[token]
-                last, token = token, best[at] if at < n else -1
+                last = token
+                if (token := best[at]) == -2:
+                    token = self._longest(spelled, at, best)
             elif out:
                 open_end[at] = 0
                 token = out.pop()
@@ -181,30 +188,36 @@ class WordBpe:
                 raise ValueError(f"the vocabulary can't spell {word[:40]!r}")
         return out
 
-    def _stretch(self, stretch: str) -> tuple[bytes, str]:
-        if stretch.isascii() and stretch.isalpha():  # one word as it is
-            ids = self.encode_word(stretch)
-        else:
-            ids = [i for word in self.words.findall(stretch) for i in self.memo_words[word]]
-        return array("i", ids).tobytes(), " ".join(map(str, ids))
+    def _longest(self, spelled: str, at: int, best: list[int]) -> int:
+        """The longest token that starts at a place, -1 without one."""
+        if best[at] == -2:
+            end, token = next(self.automaton.iter_long(spelled, at), (-1, -1))
+            best[at] = token if token >= 0 and end - self.length[token] + 1 == at else -1
+        return best[at]
 
-    def _pieces(self, text: str) -> Iterable[tuple[bytes, str]]:
+    def _word(self, word: str) -> str:
+        return " ".join([self.decimal[i] for i in self.encode_word(word)])
+
+    def _stretch(self, stretch: str) -> str:
+        if PLAIN.fullmatch(stretch):
+            return self.memo_words[stretch]
+        return " ".join(map(self.memo_words.__getitem__, self.words.findall(stretch)))
+
+    def encode(self, text: str) -> tuple[np.ndarray, str]:
+        """Token ids, and the same in decimal joined by single spaces."""
+        found: list[str] = []
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
-                i = self.specials[part]
-                yield array("i", [i]).tobytes(), str(i)
+                found.append(self.decimal[self.specials[part]])
             elif part:
                 if not part.isascii():
                     # The library lowers character by character, so a final capital sigma has no form of its own.
                     part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")
                 # No word crosses white space. Python also splits at four separators that are none for the pattern.
                 part = part.lower()
-                yield from map(self.memo.__getitem__, [part] if SEPARATORS.search(part) else part.split())
-
-    def encode(self, text: str) -> tuple[np.ndarray, str]:
-        """Token ids, and the same in decimal joined by single spaces."""
-        found = [x for x in self._pieces(text) if x[1]]
-        return np.frombuffer(b"".join([x for x, _ in found]), dtype=np.int32), " ".join([x for _, x in found])
+                found += map(self.memo.__getitem__, [part] if SEPARATORS.search(part) else part.split())
+        decimal = " ".join(filter(None, found))
+        return np.fromstring(decimal, dtype=np.int32, sep=" "), decimal
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the tokens joined by single spaces, gathered through the offset table in one step."""

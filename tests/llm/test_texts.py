@@ -50,6 +50,16 @@ def test_bpe_compatibility_is_that_of_merging(model: bpe.WordBpe) -> None:
         assert all(model.compatible(x, y) for x, y in zip(ids, ids[1:], strict=False))
 
 
+def test_bpe_encodes_a_word_once_whatever_stands_about_it(monkeypatch: pytest.MonkeyPatch) -> None:
+    met, encode = [], bpe.WordBpe.encode_word
+    monkeypatch.setattr(bpe.WordBpe, "encode_word", lambda self, word: met.append(word) or encode(self, word))
+    with open(PATH, "rb") as f:
+        fresh = bpe.WordBpe.from_json(f.read())
+    text = "thaner Thaner, thaner. (thaner) «thaner» éthaner éthaner!"
+    assert fresh.encode(text)[0].tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert met.count("thaner") == met.count("éthaner") == 1
+
+
 def test_bpe_tables(spark: SparkSession) -> None:
     docs = spark.createDataFrame([(1, None, 5), (2, "", 6), (3, "Two words", 7), (3, "Two words", 7), (None, "x", 8)], "doc_id long, text string, n_tokens int")
     got = sorted(bpe.round_trip(docs, PATH).select("doc_id", "n_tokens", "decoded_sha256").collect(), key=str)
